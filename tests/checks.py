@@ -1,0 +1,52 @@
+"""Comparison of Spark results with the check engine."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+import duckdb
+from pyspark.sql import DataFrame
+
+STAR_TABLES = ("customer", "orders", "lineitem")
+
+
+def plain(value):
+    if isinstance(value, Decimal):
+        return float(value)
+    if isinstance(value, dt.datetime):
+        return value.isoformat()
+    if isinstance(value, dt.date):
+        return value.isoformat()
+    return value
+
+
+def canonical(columns, rows):
+    """Rows as tuples in column-name order, sorted; NULLs last, floats to nine digits."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    out = []
+    for row in rows:
+        cells = [plain(row[i]) for i in order]
+        out.append(tuple(round(c, 9) if isinstance(c, float) else c for c in cells))
+    return [columns[i] for i in order], sorted(out, key=lambda r: [(c is None, str(c)) for c in r])
+
+
+def spark_result(df: DataFrame):
+    return canonical(df.columns, df.collect())
+
+
+def star_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in STAR_TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return con
+
+
+def duck_result(con: duckdb.DuckDBPyConnection, sql: str):
+    cur = con.execute(sql)
+    return canonical([d[0] for d in cur.description], cur.fetchall())
+
+
+def duck_types(con: duckdb.DuckDBPyConnection, sql: str) -> dict[str, str]:
+    cur = con.execute(sql)
+    return {d[0]: str(d[1]) for d in cur.description}
