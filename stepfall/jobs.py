@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from stepfall.plans import extract, funnels, profile
-from stepfall.sources.tables import SCHEMAS, FunnelTables
+from stepfall.sources.tables import SCHEMAS, TableSet
 
-Job = Callable[[FunnelTables], DataFrame]
+Job = Callable[[TableSet], DataFrame]
 
 
 def _preview(table: str) -> Job:

@@ -21,22 +21,22 @@ from stepfall.operators.activity import MARKS
 from stepfall.operators.grain import download_cells
 from stepfall.operators.steps import Step
 from stepfall.plans.funnels import step
-from stepfall.sources.tables import FunnelTables
+from stepfall.sources.tables import TableSet
 
 
-def _rides(t: FunnelTables) -> DataFrame:
+def _rides(t: TableSet) -> DataFrame:
     return ride_marks(t.ride_requests, "user_id")
 
 
-def _payments(t: FunnelTables) -> DataFrame:
+def _payments(t: TableSet) -> DataFrame:
     return payments_by_rider(t.transactions, t.ride_requests)
 
 
-def _reviews(t: FunnelTables) -> DataFrame:
+def _reviews(t: TableSet) -> DataFrame:
     return review_marks(t.reviews, "user_id")
 
 
-def users_with_cell(t: FunnelTables, *facts: Callable[[FunnelTables], DataFrame]) -> DataFrame:
+def users_with_cell(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
     """Mark totals per user and cell, over the given facts."""
     return attribute(totals_by("user_id", *[f(t) for f in facts]), t.signups, t.app_downloads)
 
@@ -49,7 +49,7 @@ def _rows(mark: str) -> Column:
     return F.sum(F.col(mark) * F.col("copies")).alias(f"{mark}_rows")
 
 
-def cells(t: FunnelTables, *facts: Callable[[FunnelTables], DataFrame]) -> DataFrame:
+def cells(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
     """Per cell and mark: how many users have it, and how many fact rows carry it."""
     users = users_with_cell(t, *facts)
     present = [m for m in MARKS if m in users.columns]
@@ -59,7 +59,7 @@ def cells(t: FunnelTables, *facts: Callable[[FunnelTables], DataFrame]) -> DataF
 # --- users per cell -------------------------------------------------------
 
 
-def _download_counts(t: FunnelTables) -> DataFrame:
+def _download_counts(t: TableSet) -> DataFrame:
     return (
         download_cells(t.app_downloads, t.signups)
         .groupBy(*CELL)
@@ -67,7 +67,7 @@ def _download_counts(t: FunnelTables) -> DataFrame:
     )
 
 
-def _signup_counts(t: FunnelTables) -> DataFrame:
+def _signup_counts(t: TableSet) -> DataFrame:
     """``user_cells`` has one row per user and cell, so counting them counts distinct users."""
     return (
         user_cells(t.signups, t.app_downloads)
@@ -76,15 +76,15 @@ def _signup_counts(t: FunnelTables) -> DataFrame:
     )
 
 
-def seg_app_download(t: FunnelTables) -> DataFrame:
+def seg_app_download(t: TableSet) -> DataFrame:
     return _download_counts(t).select(F.col("users").alias("total_users_app_downloaded"), *CELL)
 
 
-def seg_sign_up(t: FunnelTables) -> DataFrame:
+def seg_sign_up(t: TableSet) -> DataFrame:
     return _signup_counts(t).select(F.col("users").alias("total_users_signed_up"), *CELL)
 
 
-def seg_user_ride_status(t: FunnelTables) -> DataFrame:
+def seg_user_ride_status(t: TableSet) -> DataFrame:
     return users_with_cell(t, _rides).select(
         "user_id",
         *CELL,
@@ -93,13 +93,13 @@ def seg_user_ride_status(t: FunnelTables) -> DataFrame:
     )
 
 
-def seg_user_payment(t: FunnelTables) -> DataFrame:
+def seg_user_payment(t: TableSet) -> DataFrame:
     return users_with_cell(t, _payments).select(
         "user_id", *CELL, (F.col("payments") * F.col("copies")).alias("total_rides_with_payment")
     )
 
 
-def seg_user_review(t: FunnelTables) -> DataFrame:
+def seg_user_review(t: TableSet) -> DataFrame:
     return users_with_cell(t, _reviews).select(
         "user_id", *CELL, (F.col("reviews") * F.col("copies")).alias("total_reviews_per_user")
     )
@@ -108,30 +108,30 @@ def seg_user_review(t: FunnelTables) -> DataFrame:
 # --- rides per cell -------------------------------------------------------
 
 
-def _ride_rows(t: FunnelTables, facts: Callable[[FunnelTables], DataFrame], mark: str, name: str) -> DataFrame:
+def _ride_rows(t: TableSet, facts: Callable[[TableSet], DataFrame], mark: str, name: str) -> DataFrame:
     """Fact rows per cell, for the cells that have any."""
     rows = F.col(f"{mark}_rows")
     return cells(t, facts).where(rows > 0).select(rows.alias(name), *CELL)
 
 
-def seg_rides_requested(t: FunnelTables) -> DataFrame:
+def seg_rides_requested(t: TableSet) -> DataFrame:
     return _ride_rows(t, _rides, "requests", "total_rides_requested")
 
 
-def seg_rides_accepted(t: FunnelTables) -> DataFrame:
+def seg_rides_accepted(t: TableSet) -> DataFrame:
     return _ride_rows(t, _rides, "accepted", "total_rides_accepted")
 
 
-def seg_rides_completed(t: FunnelTables) -> DataFrame:
+def seg_rides_completed(t: TableSet) -> DataFrame:
     return _ride_rows(t, _rides, "completed", "total_rides_completed")
 
 
-def seg_rides_paid(t: FunnelTables) -> DataFrame:
+def seg_rides_paid(t: TableSet) -> DataFrame:
     """Approved payments, not distinct rides."""
     return _ride_rows(t, _payments, "payments", "total_rides_with_payment")
 
 
-def seg_rides_reviewed(t: FunnelTables) -> DataFrame:
+def seg_rides_reviewed(t: TableSet) -> DataFrame:
     """Reviews, not distinct rides."""
     return _ride_rows(t, _reviews, "reviews", "total_rides_with_review")
 
@@ -139,7 +139,7 @@ def seg_rides_reviewed(t: FunnelTables) -> DataFrame:
 # --- step tables ----------------------------------------------------------
 
 
-def _cell_steps(t: FunnelTables) -> DataFrame:
+def _cell_steps(t: TableSet) -> DataFrame:
     """Every step of every cell with its user count and its ride count.
 
     All facts meet in one aggregate per user, are attributed once, and are
@@ -176,11 +176,11 @@ def _cell_steps(t: FunnelTables) -> DataFrame:
     ).where("exists")
 
 
-def seg_user_steps(t: FunnelTables) -> DataFrame:
+def seg_user_steps(t: TableSet) -> DataFrame:
     return _cell_steps(t).select("funnel_step", "funnel_name", "user_count", *CELL)
 
 
-def funnel_extract(t: FunnelTables) -> DataFrame:
+def funnel_extract(t: TableSet) -> DataFrame:
     """The dashboard extract.
 
     ``ride_count`` is NULL, not 0, where the step has no ride rows in the cell,

@@ -18,7 +18,7 @@ from stepfall.operators import (
     step_table,
 )
 from stepfall.operators.steps import Step
-from stepfall.sources.tables import FunnelTables
+from stepfall.sources.tables import TableSet
 
 # The step names of every funnel.
 STEP_NAMES = {
@@ -60,7 +60,7 @@ def _flagged_requesters(name: str) -> Column:
     return F.sum(F.when(F.col("requested") == 1, F.col(name)))
 
 
-def user_steps(t: FunnelTables) -> DataFrame:
+def user_steps(t: TableSet) -> DataFrame:
     """``(funnel_step, funnel_name, user_count)``. One shuffle on ``user_id`` serves steps 3 to 7."""
     marks = stack_marks(
         ride_marks(t.ride_requests, "user_id"),
@@ -86,7 +86,7 @@ def user_steps(t: FunnelTables) -> DataFrame:
     )
 
 
-def ride_steps(t: FunnelTables) -> DataFrame:
+def ride_steps(t: TableSet) -> DataFrame:
     """``(funnel_step, funnel_name, ride_count)``; the first two steps have no rides.
 
     Rides, payments and reviews all carry ``ride_id``, so stacking them and
@@ -121,32 +121,32 @@ def _later_steps() -> list[Step]:
     ]
 
 
-def user_funnel_pct_previous(t: FunnelTables) -> DataFrame:
+def user_funnel_pct_previous(t: TableSet) -> DataFrame:
     return pct_of_previous(user_steps(t), "user_count")
 
 
-def user_funnel_pct_top(t: FunnelTables) -> DataFrame:
+def user_funnel_pct_top(t: TableSet) -> DataFrame:
     return pct_of_top(user_steps(t), "user_count")
 
 
-def reached_rides(t: FunnelTables) -> DataFrame:
+def reached_rides(t: TableSet) -> DataFrame:
     """Steps that rides can reach. The empty ones go before any comparison between steps."""
     return ride_steps(t).where(F.col("ride_count") > 0)
 
 
-def ride_funnel_pct_previous(t: FunnelTables) -> DataFrame:
+def ride_funnel_pct_previous(t: TableSet) -> DataFrame:
     return pct_of_previous(reached_rides(t), "ride_count")
 
 
-def ride_funnel_pct_top(t: FunnelTables) -> DataFrame:
+def ride_funnel_pct_top(t: TableSet) -> DataFrame:
     return pct_of_top(reached_rides(t), "ride_count")
 
 
-def segment_share_platform(t: FunnelTables) -> DataFrame:
+def segment_share_platform(t: TableSet) -> DataFrame:
     return segment_share(t.app_downloads, "platform", "downloads", "total_downloads", "pct_of_downloads")
 
 
-def segment_share_age(t: FunnelTables) -> DataFrame:
+def segment_share_age(t: TableSet) -> DataFrame:
     return segment_share(t.signups, "age_range", "signups", "total_signups", "pct_of_signups").orderBy(
         F.col("age_range").asc_nulls_last()
     )

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from stepfall.functions import all_present, day_start, ratio4, seconds_between
 from stepfall.operators import attribute, ever_flags
 from stepfall.operators.activity import approved
-from stepfall.sources.tables import FunnelTables
+from stepfall.sources.tables import TableSet
 
 
 def _rows() -> Column:
     return F.count(F.lit(1))
 
 
-def table_profile(t: FunnelTables) -> DataFrame:
+def table_profile(t: TableSet) -> DataFrame:
     """Every column of every table, with the table's row count."""
 
     def listing(name: str, df: DataFrame) -> DataFrame:
@@ -34,33 +34,33 @@ def table_preview(df: DataFrame, n: int = 10, ordered: bool = False) -> DataFram
     return (df.orderBy(*df.columns) if ordered else df).limit(n)
 
 
-def dropoff_date_range(t: FunnelTables) -> DataFrame:
+def dropoff_date_range(t: TableSet) -> DataFrame:
     """First and last day with a drop-off. The day is cut once, after the minimum and maximum."""
     return t.ride_requests.agg(
         day_start(F.min("dropoff_ts")).alias("min"), day_start(F.max("dropoff_ts")).alias("max")
     )
 
 
-def downloads_total(t: FunnelTables) -> DataFrame:
+def downloads_total(t: TableSet) -> DataFrame:
     return t.app_downloads.agg(
         _rows().alias("total_users_app_downloaded"),
         F.count_distinct("app_download_key").alias("total_users_distinct"),
     )
 
 
-def signups_total(t: FunnelTables) -> DataFrame:
+def signups_total(t: TableSet) -> DataFrame:
     return t.signups.agg(
         F.count_distinct("user_id").alias("total_users_distinct"), F.count("user_id").alias("total_users")
     )
 
 
-def rides_total(t: FunnelTables) -> DataFrame:
+def rides_total(t: TableSet) -> DataFrame:
     return t.ride_requests.agg(
         _rows().alias("total_rides_requested"), F.count_distinct("ride_id").alias("total_rides_distinct")
     )
 
 
-def ride_status_totals(t: FunnelTables) -> DataFrame:
+def ride_status_totals(t: TableSet) -> DataFrame:
     return t.ride_requests.agg(
         _rows().alias("total_rides_requested"),
         F.count("accept_ts").alias("total_rides_accepted"),
@@ -68,7 +68,7 @@ def ride_status_totals(t: FunnelTables) -> DataFrame:
     )
 
 
-def completed_rides_strict(t: FunnelTables) -> DataFrame:
+def completed_rides_strict(t: TableSet) -> DataFrame:
     return t.ride_requests.where(
         F.col("cancel_ts").isNull() & all_present("request_ts", "accept_ts", "pickup_ts", "dropoff_ts")
     ).agg(_rows().alias("total_rides_completed"))
@@ -80,11 +80,11 @@ def _rides_and_users(rides: DataFrame) -> DataFrame:
     )
 
 
-def requesting_users(t: FunnelTables) -> DataFrame:
+def requesting_users(t: TableSet) -> DataFrame:
     return _rides_and_users(t.ride_requests)
 
 
-def completed_users(t: FunnelTables) -> DataFrame:
+def completed_users(t: TableSet) -> DataFrame:
     return _rides_and_users(
         t.ride_requests.where(
             F.col("cancel_ts").isNull() & all_present("request_ts", "accept_ts", "dropoff_ts")
@@ -96,32 +96,32 @@ def _mean_seconds(rides: DataFrame) -> Column:
     return F.avg(seconds_between(rides["pickup_ts"], rides["dropoff_ts"]))
 
 
-def avg_ride_seconds(t: FunnelTables) -> DataFrame:
+def avg_ride_seconds(t: TableSet) -> DataFrame:
     """Mean pick-up to drop-off time. Summed as decimals, so the order of rows does not matter."""
     rides = t.ride_requests
     return rides.agg(F.round(_mean_seconds(rides).cast("double"), 6).alias("avg_time_of_ride"))
 
 
-def avg_ride_minutes(t: FunnelTables) -> DataFrame:
+def avg_ride_minutes(t: TableSet) -> DataFrame:
     rides = t.ride_requests
     return rides.agg(
         F.round(_mean_seconds(rides).cast("double") / 60, 6).alias("avg_time_of_ride_in_minutes")
     )
 
 
-def accepted_rides(t: FunnelTables) -> DataFrame:
+def accepted_rides(t: TableSet) -> DataFrame:
     return t.ride_requests.where(all_present("driver_id", "accept_ts")).agg(
         _rows().alias("total_rides_accepted")
     )
 
 
-def accepted_not_cancelled(t: FunnelTables) -> DataFrame:
+def accepted_not_cancelled(t: TableSet) -> DataFrame:
     return t.ride_requests.where(
         all_present("driver_id", "accept_ts") & F.col("cancel_ts").isNull()
     ).agg(_rows().alias("total_rides_accepted"))
 
 
-def payments_approved(t: FunnelTables) -> DataFrame:
+def payments_approved(t: TableSet) -> DataFrame:
     """The amounts are binary floats, whose sum depends on row order past the cents."""
     return approved(t.transactions).agg(
         _rows().alias("total_rides_with_payment"),
@@ -129,7 +129,7 @@ def payments_approved(t: FunnelTables) -> DataFrame:
     )
 
 
-def rides_per_platform(t: FunnelTables) -> DataFrame:
+def rides_per_platform(t: TableSet) -> DataFrame:
     per_user = t.ride_requests.groupBy("user_id").agg(F.count("ride_id").alias("rides"))
     return (
         attribute(per_user, t.signups, t.app_downloads, by=("platform",))
@@ -139,7 +139,7 @@ def rides_per_platform(t: FunnelTables) -> DataFrame:
     )
 
 
-def signup_to_request_dropoff(t: FunnelTables) -> DataFrame:
+def signup_to_request_dropoff(t: TableSet) -> DataFrame:
     requesting = t.ride_requests.agg(F.count_distinct("user_id")).scalar()
     signed, asked = F.col("total_signups"), F.col("users_requesting_rides")
     return (
@@ -150,24 +150,24 @@ def signup_to_request_dropoff(t: FunnelTables) -> DataFrame:
     )
 
 
-def _completed_by_user(t: FunnelTables) -> DataFrame:
+def _completed_by_user(t: TableSet) -> DataFrame:
     return ever_flags(t.ride_requests, "user_id", {"ride_completed": F.col("dropoff_ts").isNotNull()})
 
 
-def user_ride_completed(t: FunnelTables, n: int | None = 5) -> DataFrame:
+def user_ride_completed(t: TableSet, n: int | None = 5) -> DataFrame:
     """Did the user ever complete a ride? The first ``n`` users, or all of them with ``n=None``."""
     users = _completed_by_user(t)
     return users if n is None else users.orderBy(F.col("user_id").asc_nulls_last()).limit(n)
 
 
-def user_ride_rollup(t: FunnelTables) -> DataFrame:
+def user_ride_rollup(t: TableSet) -> DataFrame:
     return _completed_by_user(t).agg(
         _rows().alias("total_users_ride_requested"),
         F.sum("ride_completed").alias("total_users_ride_completed"),
     )
 
 
-def request_cancel_rate(t: FunnelTables) -> DataFrame:
+def request_cancel_rate(t: TableSet) -> DataFrame:
     """Share of requesting users who ever cancelled before being picked up."""
     cancelled = F.col("cancel_ts").isNotNull() & F.col("pickup_ts").isNull()
     users = ever_flags(

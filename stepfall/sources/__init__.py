@@ -1,11 +1,12 @@
 from stepfall.sources.session import local_session, tune
 from stepfall.sources.sinks import write_extract
 from stepfall.sources.star import from_star
-from stepfall.sources.tables import SCHEMAS, FunnelTables, empty_tables, read_catalog, read_files
+from stepfall.sources.tables import SCHEMAS, FunnelTables, TableSet, empty_tables, read_catalog, read_files
 
 __all__ = [
     "SCHEMAS",
     "FunnelTables",
+    "TableSet",
     "empty_tables",
     "from_star",
     "local_session",

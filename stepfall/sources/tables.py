@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -46,9 +46,23 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
+class TableSet:
+    """The inputs every plan takes, as attributes named like the tables."""
+
+    app_downloads: DataFrame
+    signups: DataFrame
+    ride_requests: DataFrame
+    transactions: DataFrame
+    reviews: DataFrame
+
+    def items(self) -> Iterator[tuple[str, DataFrame]]:
+        for name in SCHEMAS:
+            yield name, getattr(self, name)
+
+
 @dataclass(frozen=True)
-class FunnelTables:
-    """The inputs every plan takes. Keys may be of any type that joins by equality."""
+class FunnelTables(TableSet):
+    """Tables at hand. Keys may be of any type that joins by equality."""
 
     app_downloads: DataFrame
     signups: DataFrame
@@ -62,10 +76,6 @@ class FunnelTables:
             if missing:
                 raise ValueError(f"table {name} lacks columns {missing}")
 
-    def items(self) -> Iterator[tuple[str, DataFrame]]:
-        for field in fields(self):
-            yield field.name, getattr(self, field.name)
-
 
 def read_files(spark: SparkSession, root: str, fmt: str = "parquet", **options: str) -> FunnelTables:
     """Read ``root/<table>`` for each table.
