@@ -1,0 +1,124 @@
+"""Metric layer against recorded funnels. The counts and rates are fixed values."""
+
+from decimal import Decimal
+
+import pytest
+from builders import as_dicts
+from pyspark.sql import functions as F
+
+from stepfall.functions import all_present, day_start, ratio4, remainder4, seconds_between
+from stepfall.operators import pct_of_previous, pct_of_top, segment_share
+from stepfall.plans.funnels import STEP_NAMES
+
+USERS = [23608, 17623, 12406, 12278, 6233, 6233, 4348]
+RIDES = [385477, 248379, 223652, 212628, 156211]
+
+USERS_PREVIOUS = [
+    (None, None, None, None),
+    (23608, 5985, 0.7465, 0.2535),
+    (17623, 5217, 0.7040, 0.2960),
+    (12406, 128, 0.9897, 0.0103),
+    (12278, 6045, 0.5077, 0.4923),
+    (6233, 0, 1.0000, 0.0000),
+    (6233, 1885, 0.6976, 0.3024),
+]
+USERS_TOP = [
+    (23608, 0, 1.0000, 0.0000),
+    (23608, 5985, 0.7465, 0.2535),
+    (23608, 11202, 0.5255, 0.4745),
+    (23608, 11330, 0.5201, 0.4799),
+    (23608, 17375, 0.2640, 0.7360),
+    (23608, 17375, 0.2640, 0.7360),
+    (23608, 19260, 0.1842, 0.8158),
+]
+RIDES_PREVIOUS = [
+    (None, None, None, None),
+    (385477, 137098, 0.6443, 0.3557),
+    (248379, 24727, 0.9004, 0.0996),
+    (223652, 11024, 0.9507, 0.0493),
+    (212628, 56417, 0.7347, 0.2653),
+]
+RIDES_TOP = [
+    (385477, 0, 1.0000, 0.0000),
+    (385477, 137098, 0.6443, 0.3557),
+    (385477, 161825, 0.5802, 0.4198),
+    (385477, 172849, 0.5516, 0.4484),
+    (385477, 229266, 0.4052, 0.5948),
+]
+
+
+def steps(spark, counts, value, first=1):
+    rows = [(i, STEP_NAMES[i], n) for i, n in enumerate(counts, start=first)]
+    return spark.createDataFrame(rows[::-1], f"funnel_step int, funnel_name string, {value} bigint")
+
+
+@pytest.mark.parametrize(
+    "metric, base, value, first, counts, expected",
+    [
+        (pct_of_previous, "lag", "user_count", 1, USERS, USERS_PREVIOUS),
+        (pct_of_top, "first_value", "user_count", 1, USERS, USERS_TOP),
+        (pct_of_previous, "lag", "ride_count", 3, RIDES, RIDES_PREVIOUS),
+        (pct_of_top, "first_value", "ride_count", 3, RIDES, RIDES_TOP),
+    ],
+)
+def test_recorded_funnels(spark, metric, base, value, first, counts, expected):
+    out = metric(steps(spark, counts, value, first), value)
+    assert out.columns == ["funnel_step", "funnel_name", value, base, "diff", "conversion_rate", "dropoff_percent"]
+    rows = out.collect()
+    assert [r["funnel_step"] for r in rows] == list(range(first, first + len(counts)))
+    assert [(r[base], r["diff"], r["conversion_rate"], r["dropoff_percent"]) for r in rows] == expected
+
+
+@pytest.mark.parametrize(
+    "counts, shares",
+    [
+        ({"ios": 14290, "web": 2383, "android": 6935}, {"ios": 0.6053, "web": 0.1009, "android": 0.2938}),
+        (
+            {"18-24": 1865, "25-34": 3447, "35-44": 5181, "45-54": 1826, "Unknown": 5304},
+            {"18-24": 0.1058, "25-34": 0.1956, "35-44": 0.2940, "45-54": 0.1036, "Unknown": 0.3010},
+        ),
+    ],
+)
+def test_recorded_shares(spark, counts, shares):
+    sizes = spark.createDataFrame(list(counts.items()), "segment string, n bigint")
+    rows = sizes.select("segment", F.explode(F.sequence(F.lit(1), "n")))
+    out = as_dicts(segment_share(rows, "segment", "n", "total", "share"))
+    assert {r["segment"]: r["n"] for r in out} == counts
+    assert {r["segment"]: r["share"] for r in out} == shares
+    assert {r["total"] for r in out} == {sum(counts.values())}
+    assert sum(r["share"] for r in out) == pytest.approx(1, abs=5e-4)
+
+
+def test_zero_denominator_gives_null(spark):
+    rows = pct_of_previous(steps(spark, [0, 5], "user_count"), "user_count").collect()
+    assert (rows[1]["lag"], rows[1]["diff"]) == (0, -5)
+    assert rows[1]["conversion_rate"] is None and rows[1]["dropoff_percent"] is None
+
+
+def test_ratios_round_half_up_and_hold_large_counts(spark):
+    df = spark.createDataFrame([(1, 32), (1, 20000), (3, 20000), (10**18, 4 * 10**18)], "a bigint, b bigint")
+    got = df.select(ratio4(F.col("a"), F.col("b")).alias("r"), remainder4(F.col("a"), F.col("b")).alias("d")).collect()
+    assert [r["r"] for r in got] == [0.0313, 0.0001, 0.0002, 0.25]
+    assert [r["d"] for r in got] == [0.9688, 1.0, 0.9999, 0.75]
+
+
+def test_all_present_needs_every_field(spark):
+    df = spark.createDataFrame([(1, 2), (1, None), (None, None)], "a int, b int")
+    assert [tuple(r) for r in df.where(all_present("a", "b")).collect()] == [(1, 2)]
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    """Both moments lie around a clock change in the zone set here."""
+    query = "SELECT TIMESTAMP_NTZ'2021-03-14 01:50:00' AS a, TIMESTAMP_NTZ'2021-03-14 03:10:00.5' AS b"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = (
+            spark.sql(query)
+            .select(seconds_between(F.col("a"), F.col("b")).alias("s"), day_start(F.col("b")).cast("string").alias("d"))
+            .first()
+        )
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert row["s"] == Decimal("4800.5")
+    assert row["d"] == "2021-03-14 00:00:00"
