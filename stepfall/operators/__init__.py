@@ -1,29 +1,30 @@
 from stepfall.operators.activity import (
-    payment_marks,
-    payments_by_rider,
-    review_marks,
-    ride_marks,
-    stack_marks,
-    totals_by,
+    payments_per_user,
+    reached,
+    reviews_per_user,
+    ride_reach,
+    rides_per_user,
+    stack_facts,
 )
 from stepfall.operators.grain import CELL, attribute, ever_flags, user_cells
 from stepfall.operators.metrics import pct_of_previous, pct_of_top, segment_share
-from stepfall.operators.steps import step_rows, step_table
+from stepfall.operators.steps import Step, step_rows, step_table
 
 __all__ = [
     "CELL",
+    "Step",
     "attribute",
     "ever_flags",
-    "payment_marks",
-    "payments_by_rider",
+    "payments_per_user",
     "pct_of_previous",
     "pct_of_top",
-    "review_marks",
-    "ride_marks",
+    "reached",
+    "reviews_per_user",
+    "ride_reach",
+    "rides_per_user",
     "segment_share",
-    "stack_marks",
+    "stack_facts",
     "step_rows",
     "step_table",
-    "totals_by",
     "user_cells",
 ]

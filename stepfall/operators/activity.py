@@ -1,9 +1,7 @@
-"""Fact rows reduced to countable marks.
+"""Facts reduced to one row per key before anything else is done with them.
 
-Every fact row becomes marks on a key: ``requests``, ``accepted``, ``completed``,
-``payments``, ``reviews``. Marks from several facts are stacked and summed by
-key in one shuffle, with partial sums before it, so a key holding a large part
-of the rows costs no more than any other.
+Each fact is aggregated right at its scan, with partial aggregates before the
+shuffle, so a key holding a large part of the rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -13,54 +11,73 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepfall.functions import flag
-
 APPROVED = "Approved"
 MARKS = ("requests", "accepted", "completed", "payments", "reviews")
 
-
-def _one() -> Column:
-    return F.lit(1).cast("bigint")
+# One bit per thing that can happen to a ride.
+REQUESTED, ACCEPTED, COMPLETED, PAID, REVIEWED = 1, 2, 4, 8, 16
 
 
 def approved(transactions: DataFrame) -> DataFrame:
     return transactions.where(F.col("charge_status") == APPROVED)
 
 
-def ride_marks(rides: DataFrame, key: str) -> DataFrame:
-    return rides.select(
-        key,
-        _one().alias("requests"),
-        flag(F.col("accept_ts").isNotNull()).cast("bigint").alias("accepted"),
-        flag(F.col("dropoff_ts").isNotNull()).cast("bigint").alias("completed"),
-    )
+# --- per user -------------------------------------------------------------
 
 
-def payment_marks(transactions: DataFrame) -> DataFrame:
-    return approved(transactions).select("ride_id", _one().alias("payments"))
+def rides_per_user(rides: DataFrame) -> DataFrame:
+    return rides.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count("accept_ts").alias("accepted"),
+        F.count("dropoff_ts").alias("completed"),
+    )
 
 
-def payments_by_rider(transactions: DataFrame, rides: DataFrame) -> DataFrame:
-    """Approved payments under the rider's ``user_id``, NULL where no ride matches.
+def payments_per_user(transactions: DataFrame, rides: DataFrame) -> DataFrame:
+    """Approved payments by the ride's ``user_id``; those no ride matches go under NULL.
 
     Payments are counted per ride before the join: the preserved side then holds
     one row per ride id, however often a ride (or no ride at all) was charged.
     """
-    per_ride = payment_marks(transactions).groupBy("ride_id").agg(F.sum("payments").alias("payments"))
-    return per_ride.join(rides.select("ride_id", "user_id"), "ride_id", "left").select("user_id", "payments")
+    per_ride = approved(transactions).groupBy("ride_id").agg(F.count(F.lit(1)).alias("n"))
+    riders = rides.select("ride_id", "user_id")
+    return per_ride.join(riders, "ride_id", "left").groupBy("user_id").agg(F.sum("n").alias("payments"))
 
 
-def review_marks(reviews: DataFrame, key: str) -> DataFrame:
-    return reviews.select(key, _one().alias("reviews"))
+def reviews_per_user(reviews: DataFrame) -> DataFrame:
+    return reviews.groupBy("user_id").agg(F.count(F.lit(1)).alias("reviews"))
+
+
+def stack_facts(*per_user: DataFrame) -> DataFrame:
+    """Facts under one another, up to one row per user and fact; other facts' marks are NULL.
+
+    All parts come out of a shuffle on ``user_id``, which the union keeps: a join
+    on ``user_id`` that follows moves none of them again.
+    """
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), per_user)
 
 
-def stack_marks(*parts: DataFrame) -> DataFrame:
-    """All parts under one another; a mark a part does not carry is NULL there."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+# --- per ride -------------------------------------------------------------
+
+
+def _bit(ts: str, bit: int) -> Column:
+    return F.when(F.col(ts).isNotNull(), bit).otherwise(0)
+
+
+def ride_reach(rides: DataFrame, transactions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``(ride_id, reach)``: a bit per thing that happened to the ride.
+
+    Rides, payments and reviews all carry ``ride_id``, so stacking them and
+    grouping once replaces the join between payments and rides.
+    """
+    happened = F.lit(REQUESTED) + _bit("accept_ts", ACCEPTED) + _bit("dropoff_ts", COMPLETED)
+    parts = (
+        rides.select("ride_id", happened.alias("reach")),
+        approved(transactions).select("ride_id", F.lit(PAID).alias("reach")),
+        reviews.select("ride_id", F.lit(REVIEWED).alias("reach")),
+    )
+    return reduce(DataFrame.unionByName, parts).groupBy("ride_id").agg(F.bit_or("reach").alias("reach"))
 
 
-def totals_by(key: str, *parts: DataFrame) -> DataFrame:
-    """Mark totals per key, 0 where a key has none. NULL keys form one group."""
-    marks = stack_marks(*parts)
-    present = [m for m in MARKS if m in marks.columns]
-    return marks.groupBy(key).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in present])
+def reached(bit: int) -> Column:
+    return F.col("reach").bitwiseAND(bit) != 0

@@ -9,36 +9,36 @@ from pyspark.sql import functions as F
 
 from stepfall.operators import (
     CELL,
+    Step,
     attribute,
-    payments_by_rider,
-    review_marks,
-    ride_marks,
+    payments_per_user,
+    reviews_per_user,
+    rides_per_user,
+    stack_facts,
     step_table,
-    totals_by,
     user_cells,
 )
 from stepfall.operators.activity import MARKS
 from stepfall.operators.grain import download_cells
-from stepfall.operators.steps import Step
 from stepfall.plans.funnels import step
 from stepfall.sources.tables import TableSet
 
 
 def _rides(t: TableSet) -> DataFrame:
-    return ride_marks(t.ride_requests, "user_id")
+    return rides_per_user(t.ride_requests)
 
 
 def _payments(t: TableSet) -> DataFrame:
-    return payments_by_rider(t.transactions, t.ride_requests)
+    return payments_per_user(t.transactions, t.ride_requests)
 
 
 def _reviews(t: TableSet) -> DataFrame:
-    return review_marks(t.reviews, "user_id")
+    return reviews_per_user(t.reviews)
 
 
 def users_with_cell(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
-    """Mark totals per user and cell, over the given facts."""
-    return attribute(totals_by("user_id", *[f(t) for f in facts]), t.signups, t.app_downloads)
+    """Counts per user, fact and cell, over the given facts."""
+    return attribute(stack_facts(*[f(t) for f in facts]), t.signups, t.app_downloads)
 
 
 def _users(mark: str) -> Column:
@@ -50,7 +50,11 @@ def _rows(mark: str) -> Column:
 
 
 def cells(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
-    """Per cell and mark: how many users have it, and how many fact rows carry it."""
+    """Per cell and mark: how many users have it, and how many fact rows carry it.
+
+    Each mark comes from one fact, where a user has one row, so rows with the
+    mark are users with the mark.
+    """
     users = users_with_cell(t, *facts)
     present = [m for m in MARKS if m in users.columns]
     return users.groupBy(*CELL).agg(*[_users(m) for m in present], *[_rows(m) for m in present])
@@ -142,8 +146,8 @@ def seg_rides_reviewed(t: TableSet) -> DataFrame:
 def _cell_steps(t: TableSet) -> DataFrame:
     """Every step of every cell with its user count and its ride count.
 
-    All facts meet in one aggregate per user, are attributed once, and are
-    counted once per cell; the ride count travels on the same row instead of
+    All facts are counted per user first, attributed in one join and counted per
+    cell in one aggregate; the ride count travels on the same row instead of
     being looked up. A step exists in a cell only where its own source has rows.
     """
     no_rides = F.lit(None).cast("bigint")

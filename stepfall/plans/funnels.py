@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfall.operators import (
+    Step,
     ever_flags,
-    payment_marks,
-    payments_by_rider,
+    payments_per_user,
     pct_of_previous,
     pct_of_top,
-    review_marks,
-    ride_marks,
+    reached,
+    ride_reach,
     segment_share,
-    stack_marks,
     step_table,
 )
-from stepfall.operators.steps import Step
+from stepfall.operators.activity import ACCEPTED, COMPLETED, PAID, REQUESTED, REVIEWED
 from stepfall.sources.tables import TableSet
 
 # The step names of every funnel.
@@ -36,51 +35,30 @@ def step(number: int, *values: Column) -> Step:
     return Step(number, STEP_NAMES[number], values)
 
 
-def _reached(marks: DataFrame, key: str) -> DataFrame:
-    return ever_flags(
-        marks,
-        key,
-        {
-            "requested": F.col("requests") > 0,
-            "accepted": F.col("accepted") > 0,
-            "completed": F.col("completed") > 0,
-            "paid": F.col("payments") > 0,
-            "reviewed": F.col("reviews") > 0,
-        },
-    )
-
-
-def _members(name: str) -> Column:
-    """How many keys carry the flag. The NULL key counts as a member, as a group does."""
-    return F.count(F.when(F.col(name) == 1, 1))
-
-
-def _flagged_requesters(name: str) -> Column:
-    """Sum of a flag over the keys that requested; NULL when none did."""
-    return F.sum(F.when(F.col("requested") == 1, F.col(name)))
+def _groups() -> Column:
+    """How many keys a grouped frame holds. A NULL key counts, as a group does."""
+    return F.count(F.lit(1)).alias("n")
 
 
 def user_steps(t: TableSet) -> DataFrame:
-    """``(funnel_step, funnel_name, user_count)``. One shuffle on ``user_id`` serves steps 3 to 7."""
-    marks = stack_marks(
-        ride_marks(t.ride_requests, "user_id"),
-        payments_by_rider(t.transactions, t.ride_requests),
-        review_marks(t.reviews, "user_id"),
+    """``(funnel_step, funnel_name, user_count)``. The rides are read once for steps 3 to 5."""
+    riders = ever_flags(
+        t.ride_requests,
+        "user_id",
+        {"accepted": F.col("accept_ts").isNotNull(), "completed": F.col("dropoff_ts").isNotNull()},
     )
-    downloads = t.app_downloads.agg(F.count_distinct("app_download_key").alias("n"))
-    signed_up = t.signups.agg(F.count_distinct("user_id").alias("n"))
-    later = _reached(marks, "user_id").agg(
-        _members("requested").alias("requested"),
-        _flagged_requesters("accepted").alias("accepted"),
-        _flagged_requesters("completed").alias("completed"),
-        _members("paid").alias("paid"),
-        _members("reviewed").alias("reviewed"),
+    rides = riders.agg(
+        _groups(), F.sum("accepted").alias("accepted"), F.sum("completed").alias("completed")
     )
+    payers = payments_per_user(t.transactions, t.ride_requests)
+    n = F.col("n")
     return step_table(
         [
-            (downloads, [step(1, F.col("n"))]),
-            (signed_up, [step(2, F.col("n"))]),
-            (later, _later_steps()),
+            (t.app_downloads.agg(F.count_distinct("app_download_key").alias("n")), [step(1, n)]),
+            (t.signups.agg(F.count_distinct("user_id").alias("n")), [step(2, n)]),
+            (rides, [step(3, n), step(4, F.col("accepted")), step(5, F.col("completed"))]),
+            (payers.agg(_groups()), [step(6, n)]),
+            (t.reviews.select("user_id").distinct().agg(_groups()), [step(7, n)]),
         ],
         ["user_count"],
     )
@@ -89,36 +67,26 @@ def user_steps(t: TableSet) -> DataFrame:
 def ride_steps(t: TableSet) -> DataFrame:
     """``(funnel_step, funnel_name, ride_count)``; the first two steps have no rides.
 
-    Rides, payments and reviews all carry ``ride_id``, so stacking them and
-    grouping once replaces the join between payments and rides. Payments whose
-    ride is unknown make up one further group.
+    Payments whose ride is unknown make up one further group of step 6.
     """
-    marks = stack_marks(
-        ride_marks(t.ride_requests, "ride_id"),
-        payment_marks(t.transactions),
-        review_marks(t.reviews, "ride_id"),
-    )
-    paid = F.col("paid") == 1
-    known = (F.col("requested") == 1) & F.col("ride_id").isNotNull()
-    totals = _reached(marks, "ride_id").agg(
-        _members("requested").alias("requested"),
-        _flagged_requesters("accepted").alias("accepted"),
-        _flagged_requesters("completed").alias("completed"),
-        (F.count(F.when(paid & known, 1)) + F.coalesce(F.max(F.when(paid & ~known, 1)), F.lit(0))).alias("paid"),
-        _members("reviewed").alias("reviewed"),
+    requested, paid = reached(REQUESTED), reached(PAID)
+    known = requested & F.col("ride_id").isNotNull()
+    stray = F.coalesce(F.max(F.when(paid & ~known, 1)), F.lit(0))
+
+    def requesters(bit: int) -> Column:
+        """NULL when there are no rides at all."""
+        return F.sum(F.when(requested, F.when(reached(bit), 1).otherwise(0)))
+
+    totals = ride_reach(t.ride_requests, t.transactions, t.reviews).agg(
+        F.count_if(requested).alias("requested"),
+        requesters(ACCEPTED).alias("accepted"),
+        requesters(COMPLETED).alias("completed"),
+        (F.count_if(paid & known) + stray).alias("paid"),
+        F.count_if(reached(REVIEWED)).alias("reviewed"),
     )
     none = F.lit(0).cast("bigint")
-    return step_table([(totals, [step(1, none), step(2, none), *_later_steps()])], ["ride_count"])
-
-
-def _later_steps() -> list[Step]:
-    return [
-        step(3, F.col("requested")),
-        step(4, F.col("accepted")),
-        step(5, F.col("completed")),
-        step(6, F.col("paid")),
-        step(7, F.col("reviewed")),
-    ]
+    counts = [none, none, *[F.col(c) for c in totals.columns]]
+    return step_table([(totals, [step(i, n) for i, n in enumerate(counts, start=1)])], ["ride_count"])
 
 
 def user_funnel_pct_previous(t: TableSet) -> DataFrame:

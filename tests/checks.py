@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 from decimal import Decimal
 
@@ -50,3 +51,18 @@ def duck_result(con: duckdb.DuckDBPyConnection, sql: str):
 def duck_types(con: duckdb.DuckDBPyConnection, sql: str) -> dict[str, str]:
     cur = con.execute(sql)
     return {d[0]: str(d[1]) for d in cur.description}
+
+
+@contextlib.contextmanager
+def settings(spark, values):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)

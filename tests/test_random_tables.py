@@ -2,7 +2,7 @@
 
 import pytest
 from builders import as_dicts, duck_tables, random_rows, stored_tables, tables
-from checks import duck_result, spark_result
+from checks import duck_result, settings, spark_result
 
 import naive
 from oracles import JOBS
@@ -24,6 +24,19 @@ def test_matches(both, name):
     assert spark_result(JOBS_BY_NAME[name](t)) == duck_result(con, JOBS[name])
 
 
+@pytest.mark.parametrize("name", ["funnel_extract", "user_steps", "rides_per_platform", "seg_user_payment"])
+def test_matches_without_broadcasts(spark, both, name):
+    """The plans of a cluster: every join sorts and merges, nothing is coalesced away."""
+    t, con = both
+    plans = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    with settings(spark, plans):
+        assert spark_result(JOBS_BY_NAME[name](t)) == duck_result(con, JOBS[name])
+
+
 @pytest.mark.parametrize(
     "job, step_by_step",
     [

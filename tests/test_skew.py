@@ -1,8 +1,7 @@
 """One key holds a third of the rows: results stay whole and the load is split."""
 
-import contextlib
-
 import pytest
+from checks import settings
 from pyspark.sql import functions as F
 
 from stepfall.operators.grain import user_cells
@@ -19,18 +18,6 @@ SMALL_SKEW = {
 }
 
 
-@contextlib.contextmanager
-def settings(spark, values):
-    before = {k: spark.conf.get(k) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
 def final_plan(df) -> str:
     """The plan adaptive execution ended with, after running it."""
     df.collect()
@@ -128,16 +115,29 @@ def test_hot_user_and_hot_ride_stay_whole(spark, skewed):
     assert got[(7, None)] == (1, None)
 
 
-def test_partial_sums_come_before_every_shuffle_of_marks(spark, skewed):
-    """Below each exchange on a fact key stands a partial aggregate, so a hot key moves once per task."""
+def test_partial_aggregates_come_before_the_shuffle(spark, skewed):
+    """A hot key then moves once per task. The ride funnel needs that one shuffle and no join."""
     plan = funnels.ride_steps(skewed)._jdf.queryExecution().executedPlan().toString()
     lines = [line.strip(" :+-") for line in plan.splitlines()]
     at = [i for i, line in enumerate(lines) if line.startswith("Exchange hashpartitioning(ride_id")]
     assert len(at) == 1
-    assert "partial_max" in lines[at[0] + 1]
+    assert "partial_bit_or" in lines[at[0] + 1]
     assert "Join" not in plan
 
 
+def test_facts_are_shuffled_once_by_user(spark, skewed):
+    """The union of per-user facts keeps its partitioning, so the attribution join adds no exchange to it."""
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        facts = extract.cells(skewed, extract._rides, extract._payments, extract._reviews)
+        plan = facts._jdf.queryExecution().executedPlan().toString()
+        lines = [line.strip(" :+-") for line in plan.splitlines()]
+        by_user = [line for line in lines if line.startswith("Exchange hashpartitioning(user_id")]
+        # rides, payments, reviews; user cells once to build them and once for the join.
+        assert len(by_user) == 5
+        got = {(r["platform"]): (r["requests_users"], r["requests_rows"], r["payments_rows"]) for r in facts.collect()}
+    assert got["ios"] == (N - N // 3, N, N)
+
+
 def test_no_broadcast_without_a_size_check(spark, skewed):
     """With the size limit off, nothing is broadcast: the code holds no hint and no cross join."""
     with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
