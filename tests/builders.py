@@ -48,7 +48,7 @@ def paid(ride_id, amount=10.0, status="Approved"):
 
 def tables(spark: SparkSession, **rows: list[tuple]) -> FunnelTables:
     return FunnelTables(
-        **{name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in SCHEMAS.items()}
+        **{name: spark.createDataFrame(rows.get(name, []), schema).coalesce(1) for name, schema in SCHEMAS.items()}
     )
 
 

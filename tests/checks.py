@@ -23,12 +23,12 @@ def plain(value):
 
 
 def canonical(columns, rows):
-    """Rows as tuples in column-name order, sorted; NULLs last, floats to nine digits."""
+    """Rows as tuples in column-name order, sorted, NULLs last; values compare exactly."""
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     out = []
     for row in rows:
         cells = [plain(row[i]) for i in order]
-        out.append(tuple(round(c, 9) if isinstance(c, float) else c for c in cells))
+        out.append(tuple(cells))
     return [columns[i] for i in order], sorted(out, key=lambda r: [(c is None, str(c)) for c in r])
 
 

@@ -1,5 +1,7 @@
 """One small case per rule of the funnel and the extract."""
 
+from functools import lru_cache
+
 import pytest
 from builders import as_dicts, at, download, paid, ride, signup, tables
 from pyspark.sql import functions as F
@@ -12,8 +14,13 @@ def by_step(df, value):
     return {r["funnel_step"]: r[value] for r in df.collect()}
 
 
+@lru_cache(maxsize=1)
+def extract_rows(t):
+    return as_dicts(extract.funnel_extract(t))
+
+
 def cell_rows(t, step):
-    return [r for r in as_dicts(extract.funnel_extract(t)) if r["funnel_step"] == step]
+    return [r for r in extract_rows(t) if r["funnel_step"] == step]
 
 
 def test_empty_steps_leave_before_the_window(spark):
