@@ -68,6 +68,10 @@ def attribute(
     Facts without a signup stay, under NULL platform and date. Pass facts already
     reduced to one row per user: the join then moves users, not fact rows.
     """
-    joined = facts.join(user_cells(signups, downloads, by), "user_id", "left")
+    # The join drops NULL users on this side. Phrased over ``copies``, that filter stays above the
+    # aggregate, and a plan that also counts the cells themselves computes them only once.
+    user = F.when(F.col("copies") > 0, F.col("user_id"))
+    cells = user_cells(signups, downloads, by).withColumn("user_id", user)
+    joined = facts.join(cells, "user_id", "left")
     cell = [age_label() if c == "age_range" else F.col(c) for c in by]
     return joined.select(*facts.columns, *cell, F.coalesce("copies", F.lit(1)).alias("copies"))

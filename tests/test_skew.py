@@ -1,6 +1,7 @@
 """One key holds a third of the rows: results stay whole and the load is split."""
 
 import pytest
+from builders import random_rows, stored_tables
 from checks import settings
 from pyspark.sql import functions as F
 
@@ -138,6 +139,16 @@ def test_facts_are_shuffled_once_by_user(spark, skewed):
     assert got["ios"] == (N - N // 3, N, N)
 
 
+def test_user_cells_are_computed_once(spark, tmp_path):
+    """The extract counts the cells of signups and joins facts to them: one exchange serves both."""
+    stored = stored_tables(spark, tmp_path, random_rows(3))
+    for limit in ("-1", "10MB"):
+        with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": limit}):
+            plan = final_plan(extract.funnel_extract(stored))
+        reused = [line for line in plan.splitlines() if "ReusedExchange" in line]
+        assert any("hashpartitioning(user_id" in line and "download_dt" in line for line in reused)
+
+
 def test_no_broadcast_without_a_size_check(spark, skewed):
     """With the size limit off, nothing is broadcast: the code holds no hint and no cross join."""
     with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
