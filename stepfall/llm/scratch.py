@@ -9,12 +9,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of 64 bits in a row filter. The broadcast side has at most this many rows, whatever the corpus holds.
 FILTER_WORDS = 1 << 18
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send the package to the Python workers, for clusters where it is not installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="stepfall-code-")) / "stepfall.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted((root / "stepfall").rglob("*.py")):
+                out.write(file, file.relative_to(root))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
