@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfall.llm import bpe, exact_dedup, mixing, ngram_join, quality
+from stepfall.llm import bpe, exact_dedup, language, mixing, ngram_join, quality
 from stepfall.llm.scratch import ship
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Job] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
     "op3_ngram_join": op3_ngram_join,
+    "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
