@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfall.llm import bpe, exact_dedup, language, mixing, ngram_join, quality
+from stepfall.llm import bpe, exact_dedup, language, mixing, ngram_join, personal_data, quality
 from stepfall.llm.scratch import ship
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(personal_data.find(_table(spark, sf_dir, "documents")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Job] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_personal_data": op6_personal_data,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {
