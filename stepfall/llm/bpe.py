@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -32,8 +31,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 CHUNK, OVERLAP = 65_536, 1_024
 #: A match that ends this near to the end of a chunk could end elsewhere in the whole text.
 MARGIN = 4
-#: Distinct pre-tokens whose ids a Python worker keeps.
-KEPT_PIECES = 200_000
+#: Texts encoded or decoded at a time.
+SLICE = 256
 
 
 @cache
@@ -57,22 +56,19 @@ def _bytes_of(ranks: str) -> list[bytes]:
     return table
 
 
-@cache
-def _encoder(ranks: str) -> Callable[[str], list[int]]:
-    """Ids of a text that begins and ends at pre-token boundaries."""
-    merge, split, known = _codec(ranks)._encode_single_piece, _pattern().findall, {}
+def _id_lists(texts: pa.Array, ranks: str) -> pa.Array:
+    """Ids of texts that begin and end where pre-tokens do; each pre-token is merged by itself."""
+    encode_text = _codec(ranks).encode_ordinary
+    ids = [np.array(encode_text(text.as_py()), np.int32) for text in texts]
+    offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
 
-    def ids_of(piece: str) -> list[int]:
-        ids = known.get(piece)
-        if ids is None:
-            if len(known) >= KEPT_PIECES:
-                known.clear()
-            ids = merge(piece)
-            if len(piece) <= 64:
-                known[piece] = ids
-        return ids
 
-    return lambda text: list(chain.from_iterable(map(ids_of, split(text))))
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short batches, so that what is made of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def boundaries(text: str, is_last: bool, start: int = 0) -> np.ndarray:
@@ -178,16 +174,13 @@ def encode(
     size = F.length("text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(ranks)
-        for batch in batches:
-            ids = [ids_of(text.as_py()) for text in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for batch in _slices(batches):
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], _id_lists(batch["text"], ranks)], ["doc_id", "ids"])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(ranks)
-        for batch in batches:
-            ids = [ids_of(text.as_py()) for text in batch["piece"]]
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["at"], pa.array(ids, pa.list_(pa.int32()))], ["row", "doc_id", "at", "ids"])
+        for batch in _slices(batches):
+            own = [batch["row"], batch["doc_id"], batch["at"], _id_lists(batch["piece"], ranks)]
+            yield pa.RecordBatch.from_arrays(own, ["row", "doc_id", "at", "ids"])
 
     def joined(doc: pd.DataFrame) -> pd.DataFrame:
         doc = doc.sort_values("at")
@@ -206,9 +199,8 @@ def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str = RANKS, out_col
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _bytes_of(ranks).__getitem__
-        for batch in batches:
-            ids = batch[ids_col]
-            raw = [b"".join(map(table, row.as_py() or ())) for row in ids]
+        for batch in _slices(batches):
+            raw = [b"".join(map(table, row.as_py() or ())) for row in batch[ids_col]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, out_col])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
