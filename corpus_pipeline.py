@@ -1,32 +1,63 @@
-"""From raw documents to token ids, in stages that each read what the one before kept."""
+"""From raw documents to token ids, in stages that each read what the one before kept.
+
+Language ID drops documents without a language; exact and near copies leave one
+document of each group; the mix repeats and cuts sources to their budgets; the last
+stage encodes what is left. Every stage but the last returns the columns of
+``documents``. Rejected rows are found on slim tables; texts are not shuffled but
+for copies and the mix.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stepfall.llm import bpe
 from stepfall.llm.exact_dedup import drop_exact_duplicates
+from stepfall.llm.language import identify
 from stepfall.llm.mixing import mixed_documents
-from stepfall.llm.scratch import settle
+from stepfall.llm.ngram_join import drop_near_duplicates
+from stepfall.llm.scratch import rows_without, settle, ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rejected = settle(identify(docs).where(~F.col("kept")).select("doc_id").distinct(), "rejected")
+    return rows_without(docs, "doc_id", rejected)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return drop_exact_duplicates(docs)
 
 
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return drop_near_duplicates(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return bpe.round_trip(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("exact_dedup", exact_copies),
-    ("source_mixing", source_mix),
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("ngram_join", ngram_join),
+    ("source_mixing", source_mixing),
+    ("byte_bpe", byte_bpe),
 ]
 
-#: SQL cannot express the stages; tests compare them with brute force instead.
+#: SQL cannot express near duplicates and token ids; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfall.llm import bpe, exact_dedup, language, mixing, ngram_join, personal_data, quality
-from stepfall.llm.scratch import ship
+from stepfall.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, personal_data, quality, token_counts, toxicity
+from stepfall.llm.scratch import shared_folder, ship
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,20 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digests(personal_data.find(_table(spark, sf_dir, "documents")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/stepfall-{uuid.uuid4().hex}"
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return token_counts.through_three_batches(spark, folder, documents, labels)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.unquoted(_table(spark, sf_dir, "conversations"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,10 +66,15 @@ QUERIES: dict[str, Job] = {
     "op4_language_id": op4_language_id,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_personal_data": op6_personal_data,
+    "op7_token_counts": op7_token_counts,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,
     "op2_source_mixing": mixing.ORACLE_SQL,
+    "op7_token_counts": token_counts.ORACLE_SQL,
+    "op8_chat_formatting": chat.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
