@@ -56,22 +56,16 @@ def _key(id_col: str) -> Column:
     return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
 
 
-def mix(
+def _in_order(
     docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
+    id_col: str,
+    text_col: str,
+    source_col: str,
     weights: tuple[int, ...] = WEIGHTS,
     max_epochs: int = MAX_EPOCHS,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` for every row; ``taken`` counts repeats.
-
-    Sources without a name are one source, last in order. NULL and empty texts
-    have size 0 and nothing taken. Rows that repeat an id stand side by side in the
-    order and are taken as rows of their own. An empty table gives no rows; other
-    columns are not looked at. The same rows always give the same mix.
-    """
+    """Rows without text, with their source's ``epochs`` and the words ``left`` of its last epoch when they are reached."""
     sized = settle(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -107,11 +101,24 @@ def mix(
     )
     inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = parted.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    left = F.col("rest") - F.col("offset") - F.col("inside")
-    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return ranked.join(
-        offsets, F.col("source").eqNullSafe(F.col("source_")) & (F.col("part") == F.col("part_"))
-    ).select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    placed = ranked.join(offsets, F.col("source").eqNullSafe(F.col("source_")) & (F.col("part") == F.col("part_")))
+    left = F.greatest(F.lit(0), F.col("rest") - F.col("offset") - F.col("inside"))
+    return placed.select("doc_id", "source", "key", "size", "source_size", "target", "epochs", left.cast("long").alias("left"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
+    """``(doc_id, source, size, source_size, target, taken)`` for every row; ``taken`` counts repeats.
+
+    Sources without a name are one source, last in order. NULL and empty texts
+    have size 0 and nothing taken. Rows that repeat an id stand side by side in the
+    order and are taken as rows of their own. An empty table gives no rows; other
+    columns are not looked at. The same rows always give the same mix. ``options``:
+    ``weights``, ``max_epochs``, ``part_rows``.
+    """
+    taken = F.col("epochs") * F.col("size") + F.least("size", "left")
+    return _in_order(docs, id_col, text_col, source_col, **options).select(
+        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")
+    )
 
 
 def mixed_documents(
@@ -119,18 +126,24 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last time cut to the words taken.
 
-    Ids should be unique here; of rows that repeat an id, each is repeated by the
-    smallest number taken of them.
+    A source's cut is one place in its order, so documents are told by their key and
+    texts do not move. Ids should be unique: of rows that repeat the id at which a
+    source is cut, each is cut.
     """
-    shares = mix(docs, id_col, text_col, source_col, **options)
-    shares = shares.where("taken > 0").groupBy(F.col("doc_id").alias("_sf_id")).agg(F.min("taken").alias("_sf_taken"), F.max("size").alias("_sf_size"))
-    joined = docs.join(shares, F.col(id_col).eqNullSafe(F.col("_sf_id")))
-    size, taken = F.col("_sf_size"), F.col("_sf_taken")
-    copies = joined.withColumn("_sf_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(taken / size))))
-    words = taken - (F.col("_sf_copy") - 1) * size
-    start = F.format_string(f"^(?:{SPACES.replace('%', '%%')})?(?:{WORD}(?:{SPACES})?){{%d}}", words)
-    cut = F.when(words >= size, F.col(text_col)).otherwise(F.regexp_extract(F.col(text_col), start, 0))
-    return copies.withColumn(text_col, cut).select(*docs.columns)
+    order = _in_order(docs, id_col, text_col, source_col, **options)
+    last = F.max(F.when(F.col("left") > 0, F.struct("key", "doc_id", F.least("size", "left").alias("words")))).alias("_sf_cut")
+    cuts = order.groupBy(F.col("source").alias("_sf_source")).agg(F.first("epochs").alias("_sf_epochs"), last)
+    cuts = settle(cuts, "cuts")
+    joined = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("_sf_source"))).withColumn("_sf_size", word_count(text_col))
+    here = F.struct(_key(id_col).alias("key"), F.col(id_col).alias("doc_id"))
+    cut = F.struct(F.col("_sf_cut.key").alias("key"), F.col("_sf_cut.doc_id").alias("doc_id"))
+    rest = F.when(F.col("_sf_cut").isNull() | (here > cut), 0).when(here == cut, F.col("_sf_cut.words")).otherwise(F.col("_sf_size"))
+    repeats = F.array_repeat("_sf_size", F.col("_sf_epochs").cast("int"))
+    wanted = joined.withColumn("_sf_words", F.explode(F.concat(repeats, F.array(rest.cast("long"))))).where("_sf_words > 0")
+    parts = F.regexp_extract_all(F.col(text_col), F.lit(f"(?:{SPACES})?{WORD}"), F.lit(0))
+    short = F.array_join(F.slice(parts, F.lit(1), F.col("_sf_words").cast("int")), "")
+    text = F.when(F.col("_sf_words") >= F.col("_sf_size"), F.col(text_col)).otherwise(short)
+    return wanted.withColumn(text_col, text).select(*docs.columns)
 
 
 ORACLE_SQL = rf"""
