@@ -73,7 +73,21 @@ LEFT JOIN ({lookups}) AS r
 ORDER BY u.funnel_step, u.platform NULLS LAST, u.age_range NULLS LAST, u.download_dt NULLS LAST"""
 
 
+def _compared(base: str, other: str) -> str:
+    """``other`` picks the step to compare with, by position among the steps of the cell."""
+    same = " AND ".join(f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in _CELL.split(", "))
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {_CELL} ORDER BY funnel_step) AS pos FROM ({_user_steps()})"
+    return f"""
+SELECT a.funnel_step, a.funnel_name, a.user_count, a.platform, a.age_range, a.download_dt, b.user_count AS "{base}",
+       b.user_count - a.user_count AS diff,
+       round(CAST(a.user_count AS DOUBLE) / nullif(b.user_count, 0), 4) AS conversion_rate,
+       round(1 - CAST(a.user_count AS DOUBLE) / nullif(b.user_count, 0), 4) AS dropoff_percent
+FROM ({ranked}) AS a LEFT JOIN ({ranked}) AS b ON {same} AND b.pos = {other}"""
+
+
 EXTRACT: dict[str, str] = {
+    "cell_funnel_pct_previous": _compared("lag", "a.pos - 1"),
+    "cell_funnel_pct_top": _compared("first_value", "1"),
     "seg_app_download": _distinct(_DOWNLOADS, "app_download_key", "total_users_app_downloaded"),
     "seg_sign_up": _distinct(_SIGNUPS, "user_id", "total_users_signed_up"),
     "seg_user_ride_status": _STATUS,

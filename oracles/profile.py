@@ -65,7 +65,8 @@ WHERE driver_id IS NOT NULL AND accept_ts IS NOT NULL""",
 SELECT count(*) AS total_rides_accepted FROM ride_requests
 WHERE cancel_ts IS NULL AND driver_id IS NOT NULL AND accept_ts IS NOT NULL""",
     "payments_approved": """
-SELECT count(*) AS total_rides_with_payment, round(sum(purchase_amount_usd), 2) AS total_payment_collected
+SELECT count(*) AS total_rides_with_payment, 
+       CAST(round(sum(TRY_CAST(purchase_amount_usd AS DECIMAL(20, 6))), 2) AS DOUBLE) AS total_payment_collected
 FROM transactions WHERE charge_status = 'Approved'""",
     "rides_per_platform": """
 SELECT d.platform, count(r.ride_id) AS total_ride_requests_per_platform

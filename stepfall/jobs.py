@@ -12,8 +12,8 @@ from stepfall.sources.tables import SCHEMAS, TableSet
 Job = Callable[[TableSet], DataFrame]
 
 
-def _preview(table: str) -> Job:
-    return lambda t: profile.table_preview(getattr(t, table), ordered=True)
+def _preview(table: str, ordered: bool = False) -> Job:
+    return lambda t: profile.table_preview(getattr(t, table), ordered=ordered)
 
 
 _PROFILE: tuple[Job, ...] = (
@@ -60,6 +60,8 @@ _EXTRACT: tuple[Job, ...] = (
     extract.seg_rides_paid,
     extract.seg_rides_reviewed,
     extract.funnel_extract,
+    extract.cell_funnel_pct_previous,
+    extract.cell_funnel_pct_top,
 )
 
 JOBS_BY_NAME: dict[str, Job] = {
@@ -67,3 +69,6 @@ JOBS_BY_NAME: dict[str, Job] = {
     **{f"table_preview_{table}": _preview(table) for table in SCHEMAS},
     "user_ride_completed_all": lambda t: profile.user_ride_completed(t, n=None),
 }
+
+#: Forms whose rows do not vary from run to run, for checks; the previews above read ten rows and no more.
+REPEATABLE: dict[str, Job] = {f"table_preview_{table}": _preview(table, ordered=True) for table in SCHEMAS}

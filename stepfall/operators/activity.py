@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Fixed value: the status of a payment that counts.
 APPROVED = "Approved"
 MARKS = ("requests", "accepted", "completed", "payments", "reviews")
 

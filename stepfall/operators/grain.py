@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stepfall.functions import day_of, flag
 
+# The columns of a cell, and the label of a missing age range.
 CELL = ("platform", "age_range", "download_dt")
 NO_AGE = "Not Specified"
 
@@ -24,40 +25,73 @@ def ever_flags(df: DataFrame, keys: str | Sequence[str], conditions: Mapping[str
     return df.groupBy(*keys).agg(*[F.max(flag(c)).alias(name) for name, c in conditions.items()])
 
 
-def _homes(downloads: DataFrame) -> DataFrame:
-    return downloads.select(
-        F.col("app_download_key").alias("session_id"),
-        "platform",
-        day_of(F.col("download_ts")).alias("download_dt"),
+def homes(downloads: DataFrame) -> DataFrame:
+    """``(session_id, platform, download_dt, m)``: the cells a download key stands in, and with how many rows.
+
+    What joins to downloads then meets each cell of its key once, however often the key repeats.
+    """
+    return (
+        downloads.select(
+            F.col("app_download_key").alias("session_id"), "platform", day_of(F.col("download_ts")).alias("download_dt")
+        )
+        .groupBy("session_id", "platform", "download_dt")
+        .agg(F.count(F.lit(1)).alias("m"))
     )
 
 
+def placed(signups: DataFrame, downloads: DataFrame) -> DataFrame:
+    """``(session_id, user_id, *CELL, m)``: every signup beside the cells of its download, if any (else ``m`` is NULL)."""
+    people = signups.select("user_id", "session_id", age_label())
+    # The join drops NULL keys on this side. Phrased over ``m``, that filter stays above the
+    # aggregate, so a plan that also counts the homes themselves scans and groups them once.
+    key = F.when(F.col("m") > 0, F.col("session_id"))
+    return people.join(homes(downloads).withColumn("session_id", key), "session_id", "left")
+
+
 def user_cells(signups: DataFrame, downloads: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
     """``(user_id, *by, copies)``: the cells of each user, by the user's signups.
 
-    ``copies`` is how many signup rows put the user there (1 when user ids are
-    unique), so a later join on ``user_id`` can count as if it had met each one.
+    ``copies`` is how many pairs of signup and download rows put the user there (1 when keys
+    are unique), so a later join on ``user_id`` can count as if it had met each one.
     """
-    people = signups.select("user_id", "session_id", age_label())
     return (
-        people.join(_homes(downloads), "session_id", "left")
+        placed(signups, downloads)
         .groupBy("user_id", *by)
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(F.sum(F.coalesce("m", F.lit(1))).alias("copies"))
     )
 
 
-def download_cells(downloads: DataFrame, signups: DataFrame) -> DataFrame:
-    """``(app_download_key, *CELL)``: downloads with the age range of their signup, if any.
+def download_counts(downloads: DataFrame, signups: DataFrame) -> DataFrame:
+    """``(*CELL, users, rows)``: distinct download keys per cell, and pairs of download row and age.
 
-    Signups are reduced to distinct ages per session first, which is all that
-    distinct downloads per cell can depend on.
+    The age range is that of the key's signups. Keys with signups come out of the join
+    that ``user_cells`` makes; those without are all keys less those found there, so
+    neither table moves a second time.
     """
-    ages = signups.select("session_id", age_label()).distinct()
-    return (
-        _homes(downloads)
-        .join(ages, "session_id", "left")
-        .select(F.col("session_id").alias("app_download_key"), "platform", age_label(), "download_dt")
+    cell = ["platform", "download_dt"]
+    # Signups without a download go after the aggregate, not before, and ``user_id`` is counted although
+    # any count will do: the join then is the same as in ``user_cells``, and one exchange serves both.
+    matched = (
+        placed(signups, downloads)
+        .groupBy("session_id", *cell)
+        .agg(F.max("m").alias("m"), F.collect_set("age_range").alias("ages"), F.count("user_id").alias("signups"))
+        .where("m > 0 AND signups >= 0")
+    )
+
+    def entry(age: Column, sign: int) -> Column:
+        return F.struct(age.alias("age_range"), F.lit(sign).alias("sign"))
+
+    ages = F.concat(F.transform("ages", lambda age: entry(age, 1)), F.array(entry(F.lit(NO_AGE), -1)))
+    moved = matched.select(*cell, F.explode(ages).alias("age"), "m").select(
+        *cell, "age.age_range", F.col("age.sign").cast("bigint").alias("users"), (F.col("age.sign") * F.col("m")).alias("rows")
+    )
+    whole = homes(downloads).select(
+        *cell,
+        F.lit(NO_AGE).alias("age_range"),
+        F.when(F.col("session_id").isNotNull(), 1).otherwise(0).cast("bigint").alias("users"),
+        F.col("m").alias("rows"),
     )
+    return whole.unionByName(moved).groupBy(*CELL).agg(F.sum("users").alias("users"), F.sum("rows").alias("rows")).where("rows > 0")
 
 
 def attribute(

@@ -12,6 +12,8 @@ from stepfall.operators import (
     Step,
     attribute,
     payments_per_user,
+    pct_of_previous,
+    pct_of_top,
     reviews_per_user,
     rides_per_user,
     stack_facts,
@@ -19,7 +21,7 @@ from stepfall.operators import (
     user_cells,
 )
 from stepfall.operators.activity import MARKS
-from stepfall.operators.grain import download_cells
+from stepfall.operators.grain import download_counts
 from stepfall.plans.funnels import step
 from stepfall.sources.tables import TableSet
 
@@ -64,11 +66,7 @@ def cells(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
 
 
 def _download_counts(t: TableSet) -> DataFrame:
-    return (
-        download_cells(t.app_downloads, t.signups)
-        .groupBy(*CELL)
-        .agg(F.count_distinct("app_download_key").alias("users"), F.count(F.lit(1)).alias("rows"))
-    )
+    return download_counts(t.app_downloads, t.signups)
 
 
 def _signup_counts(t: TableSet) -> DataFrame:
@@ -184,6 +182,16 @@ def seg_user_steps(t: TableSet) -> DataFrame:
     return _cell_steps(t).select("funnel_step", "funnel_name", "user_count", *CELL)
 
 
+def cell_funnel_pct_previous(t: TableSet) -> DataFrame:
+    """Each step of a cell against the one before it that the cell has."""
+    return pct_of_previous(seg_user_steps(t), "user_count", by=CELL)
+
+
+def cell_funnel_pct_top(t: TableSet) -> DataFrame:
+    """Each step of a cell against the first one that the cell has."""
+    return pct_of_top(seg_user_steps(t), "user_count", by=CELL)
+
+
 def funnel_extract(t: TableSet) -> DataFrame:
     """The dashboard extract.
 

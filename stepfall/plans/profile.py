@@ -122,10 +122,14 @@ def accepted_not_cancelled(t: TableSet) -> DataFrame:
 
 
 def payments_approved(t: TableSet) -> DataFrame:
-    """The amounts are binary floats, whose sum depends on row order past the cents."""
+    """Amounts are summed as decimals of six places, so the total does not depend on the order of rows.
+
+    Amounts that are no such decimal (NaN, infinities, 10^14 and more) count as payments and add nothing.
+    """
+    amount = F.col("purchase_amount_usd").try_cast("decimal(20,6)")
     return approved(t.transactions).agg(
         _rows().alias("total_rides_with_payment"),
-        F.round(F.sum("purchase_amount_usd"), 2).alias("total_payment_collected"),
+        F.round(F.sum(amount), 2).cast("double").alias("total_payment_collected"),
     )
 
 

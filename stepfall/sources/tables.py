@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -60,9 +61,20 @@ class TableSet:
             yield name, getattr(self, name)
 
 
+# The keys that jobs join by equality.
+KEY_PAIRS = (
+    ("signups.session_id", "app_downloads.app_download_key"),
+    ("ride_requests.user_id", "signups.user_id"),
+    ("reviews.user_id", "signups.user_id"),
+    ("transactions.ride_id", "ride_requests.ride_id"),
+    ("reviews.ride_id", "ride_requests.ride_id"),
+)
+KEYS = frozenset(name.split(".")[1] for pair in KEY_PAIRS for name in pair) | {"driver_id"}
+
+
 @dataclass(frozen=True)
 class FunnelTables(TableSet):
-    """Tables at hand. Keys may be of any type that joins by equality."""
+    """Tables at hand. Keys may be of any type that joins by equality, alike on both sides of a join."""
 
     app_downloads: DataFrame
     signups: DataFrame
@@ -75,25 +87,68 @@ class FunnelTables(TableSet):
             missing = [c for c in SCHEMAS[name].names if c not in frame.columns]
             if missing:
                 raise ValueError(f"table {name} lacks columns {missing}")
+        for pair in KEY_PAIRS:
+            a, b = (_key_kind(getattr(self, table).schema[column].dataType) for table, column in (x.split(".") for x in pair))
+            if a != b:
+                raise ValueError(f"{pair[0]} ({a}) and {pair[1]} ({b}) are joined but differ in type")
+
+
+def _key_kind(kind: T.DataType) -> str:
+    """Integers join whatever their width; other types must be the same."""
+    return "integer" if isinstance(kind, T.IntegralType) else kind.simpleString()
+
 
+def _declared(name: str, key_type: str) -> T.StructType:
+    kind = T.StructType.fromDDL(f"key {key_type}")[0].dataType
+    return T.StructType([T.StructField(f.name, kind if f.name in KEYS else f.dataType) for f in SCHEMAS[name]])
 
-def read_files(spark: SparkSession, root: str, fmt: str = "parquet", **options: str) -> FunnelTables:
+
+def _parsed(table: str, field: T.StructField, strict: bool) -> Column:
+    """A text field in its declared type; text that is none of it fails the query, if ``strict``."""
+    text = F.col(f"`{field.name}`")
+    value = text.try_cast(field.dataType)
+    if strict:
+        said = F.concat(F.lit(f"{table}.{field.name} is no {field.dataType.simpleString()}: "), text)
+        value = F.when(text.isNotNull() & value.isNull(), F.raise_error(said).cast(field.dataType)).otherwise(value)
+    return value.alias(field.name)
+
+
+def read_files(
+    spark: SparkSession, root: str, fmt: str = "parquet", key_type: str = "bigint", **options: str
+) -> FunnelTables:
     """Read ``root/<table>`` for each table.
 
-    Parquet and ORC carry their own types, which are kept; text formats are read
-    with the declared schema, so no pass over the data is spent on inference.
+    Parquet and ORC carry their own types, which are kept. Text formats are read
+    with the declared types, and keys as ``key_type``; a field that does not parse
+    fails the query instead of turning into NULL. CSV files have a header line, as
+    ``write_extract`` leaves it, and columns are found by its names; files of one
+    table must agree on it. With ``header="false"`` columns go by position. An option
+    given here wins over these settings.
+
+    Call ``tune(spark)`` before, or set the session's adaptive execution yourself:
+    hot keys count on it.
     """
+    strict = {"mode": "FAILFAST"} if fmt in ("csv", "json") else {}
+    strict |= {"header": "true", "enforceSchema": "false"} if fmt == "csv" else {}
+    settings = strict | {k: str(v) for k, v in options.items()}
+    by_name = fmt == "csv" and settings["header"].lower() == "true"
 
     def read(name: str) -> DataFrame:
-        reader = spark.read.format(fmt).options(**options)
-        if fmt in ("csv", "json"):
-            reader = reader.schema(SCHEMAS[name])
-        return reader.load(f"{root.rstrip('/')}/{name}")
+        reader, schema = spark.read.format(fmt).options(**settings), _declared(name, key_type)
+        path = f"{root.rstrip('/')}/{name}"
+        if not by_name:
+            return (reader.schema(schema) if strict else reader).load(path)
+        raw = reader.load(path)
+        missing = [c for c in schema.names if c not in raw.columns]
+        if missing:
+            raise ValueError(f"table {name} lacks columns {missing}")
+        return raw.select(*[_parsed(name, field, settings["mode"].upper() == "FAILFAST") for field in schema])
 
     return FunnelTables(**{name: read(name) for name in SCHEMAS})
 
 
 def read_catalog(spark: SparkSession, database: str | None = None) -> FunnelTables:
+    """The tables of a database, or of the session. As with ``read_files``, call ``tune(spark)`` before."""
     prefix = f"{database}." if database else ""
     return FunnelTables(**{name: spark.table(f"{prefix}{name}") for name in SCHEMAS})
 

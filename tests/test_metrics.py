@@ -122,3 +122,12 @@ def test_times_do_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert row["s"] == Decimal("4800.5")
     assert row["d"] == "2021-03-14 00:00:00"
+
+
+def test_cells_do_not_see_each_other(spark):
+    rows = [("a", 1, 10), ("a", 2, 5), ("b", 2, 8), ("b", 3, 2), (None, 3, 1)]
+    df = spark.createDataFrame(rows, "cell string, pos int, n bigint")
+    previous = {(r["cell"], r["pos"]): r["lag"] for r in pct_of_previous(df, "n", "pos", by=["cell"]).collect()}
+    assert previous == {("a", 1): None, ("a", 2): 10, ("b", 2): None, ("b", 3): 8, (None, 3): None}
+    top = {(r["cell"], r["pos"]): r["conversion_rate"] for r in pct_of_top(df, "n", "pos", by=["cell"]).collect()}
+    assert top == {("a", 1): 1.0, ("a", 2): 0.5, ("b", 2): 1.0, ("b", 3): 0.25, (None, 3): 1.0}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stepfall.operators import pct_of_previous, pct_of_top, segment_share
 from stepfall.plans import extract, funnels, profile
+from stepfall.sources import FunnelTables
 
 
 def by_step(df, value):
@@ -183,6 +184,24 @@ def test_cancel_rate(spark):
     ]
 
 
+def test_payment_total_does_not_depend_on_the_order(spark):
+    """Binary sums of these amounts differ between the two layouts."""
+    rides = spark.range(0, 300_000, 1, 1)
+    amount = (F.lit(0.1) + F.col("id") % 997 / 7 + F.when(F.col("id") % 1000 == 0, 1e9).otherwise(0.0)).alias("purchase_amount_usd")
+    paid_rides = rides.select(F.col("id").alias("ride_id"), amount, F.lit("Approved").alias("charge_status"))
+    base = dict(tables(spark).items())
+    totals = {
+        tuple(profile.payments_approved(FunnelTables(**{**base, "transactions": layout})).first())
+        for layout in (paid_rides, paid_rides.repartition(7), paid_rides.orderBy("purchase_amount_usd"))
+    }
+    assert len(totals) == 1
+
+
+def test_amounts_that_are_no_decimals_add_nothing(spark):
+    t = tables(spark, transactions=[paid(1, 2.5), paid(2, float("nan")), paid(3, float("inf")), paid(4, None)])
+    assert tuple(profile.payments_approved(t).first()) == (4, 2.5)
+
+
 def test_preview_and_top_users(spark):
     t = tables(spark, ride_requests=[ride(i, 20 - i, dropoff=i % 2 == 0) for i in range(12)])
     assert profile.table_preview(t.ride_requests).count() == 10

@@ -5,7 +5,7 @@ from builders import random_rows, stored_tables
 from checks import settings
 from pyspark.sql import functions as F
 
-from stepfall.operators.grain import user_cells
+from stepfall.operators.grain import placed, user_cells
 from stepfall.plans import extract, funnels
 from stepfall.sources import SCHEMAS, FunnelTables
 from stepfall.sources.star import StarTables
@@ -139,6 +139,38 @@ def test_facts_are_shuffled_once_by_user(spark, skewed):
     assert got["ios"] == (N - N // 3, N, N)
 
 
+def test_a_key_repeated_on_both_sides_makes_no_pairs(spark):
+    """4,000 signups and 4,000 downloads of one key: the join meets one download row per cell."""
+    n = 4_000
+    ids = spark.range(0, n, 1, 4)
+    moment = F.lit("2021-05-01 10:00:00").cast("timestamp_ntz")
+    one = F.col("id") % 1 + 1
+    downloads = ids.select(one.alias("app_download_key"), F.lit("ios").alias("platform"), moment.alias("download_ts"))
+    signups = ids.select(F.col("id").alias("user_id"), one.alias("session_id"), F.lit("18-24").alias("age_range"))
+    downloads, signups = typed(downloads, "app_downloads"), typed(signups, "signups")
+    with settings(spark, SMALL_SKEW):
+        cells = user_cells(signups, downloads)
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        join = plan.index("SortMergeJoin")
+        assert "partial_count" in plan[join:], "downloads are grouped below the join"
+        assert placed(signups, downloads).count() == n
+        got = cells.agg(F.count("*"), F.min("copies"), F.max("copies")).first()
+    assert tuple(got) == (n, n, n)
+
+
+def test_user_tables_move_once_in_the_extract(spark, tmp_path):
+    stored = stored_tables(spark, tmp_path, random_rows(4))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}):
+        lines = [line.strip(" :+-") for line in final_plan(extract.funnel_extract(stored)).splitlines()]
+    scans = [line for line in lines if "FileScan" in line or "Scan parquet" in line]
+    for column in ("app_download_key", "age_range"):
+        assert sum(f"{column}#" in line for line in scans) == 1, column
+    moves = [line for line in lines if line.startswith("Exchange hashpartitioning(")]
+    assert len(moves) <= 13
+    # Signups by their key, and downloads by theirs after grouping.
+    assert sum(line.startswith("Exchange hashpartitioning(session_id") and "platform" not in line.split(", ")[1] for line in moves) <= 2
+
+
 def test_user_cells_are_computed_once(spark, tmp_path):
     """The extract counts the cells of signups and joins facts to them: one exchange serves both."""
     stored = stored_tables(spark, tmp_path, random_rows(3))
