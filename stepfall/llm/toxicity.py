@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepfall.llm.scratch import settle
 from stepfall.llm.text import whole
 
 BUCKETS = 1 << 18
@@ -66,38 +67,73 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.cuts - self.weights[at].sum(dtype=np.float64), -700, 700)))
 
 
-def _likelihood(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Derivatives of the log likelihood: by each row's score, and by each cut."""
+def _likelihood(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray, times: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the log likelihood: by each row's score, and by each cut. A row counts ``times``."""
     one, own = np.ones((len(score), 1)), np.arange(len(score))
     above = np.clip(1 / (1 + np.exp(np.clip(cuts - score[:, None], -30, 30))), 1e-9, 1 - 1e-9)
     edges, slope = np.hstack([one, above, 0 * one]), np.hstack([0 * one, above * (1 - above), 0 * one])
     chance = np.maximum(edges[own, grades] - edges[own, grades + 1], 1e-9)
-    upper, lower = slope[own, grades] / chance, slope[own, grades + 1] / chance
+    upper, lower = times * slope[own, grades] / chance, times * slope[own, grades + 1] / chance
     by_cut = [lower[grades == k].sum() - upper[grades == k + 1].sum() for k in range(len(cuts))]
     return upper - lower, np.array(by_cut)
 
 
-def fit(features: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Maximum likelihood with weight decay, by Adam on all rows at once.
+def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``(row, grade, at)`` of about ``rows`` labelled documents, chosen by a hash of their id; ``at`` are their buckets.
 
-    Only buckets that depart from the model without words are fitted (score test);
-    the others are noise, of which a long text would add up a lot.
+    The ids chosen are few, so they are sent to the documents instead of the other way.
+    """
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
+    limit = int(min(1.0, rows / max(1, known.count())) * (1 << 32))
+    chosen = known.where(F.xxhash64("doc_id").bitwiseAND((1 << 32) - 1) < limit)
+    chosen = chosen.select("doc_id", grade(F.col("toxic"), F.col("quality")).alias("grade"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [buckets(text.as_py()) for text in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["grade"], pa.array(found, pa.list_(pa.int32()))], ["grade", "at"])
+
+    joined = docs.join(F.broadcast(chosen), "doc_id").select("grade", "text")
+    return joined.mapInArrow(read, "grade int, at array<int>").withColumn("row", F.monotonically_increasing_id())
+
+
+def fit(sampled: DataFrame, rounds: int = ROUNDS) -> Model:
+    """Maximum likelihood with weight decay, by Adam on all rows of the sample at once.
+
+    Only buckets that depart from the model without words are fitted (score test,
+    computed by Spark); the others are noise, of which a long text would add up a lot. The
+    driver gets the fitted buckets of the sample's rows, a few each.
     """
-    levels, n = GRADES - 1, len(features)
-    weights = np.zeros(BUCKETS)
-    share = (np.array([(grades > k).sum() for k in range(levels)]) + 0.5 * np.arange(levels, 0, -1)) / (n + levels)
+    sampled = settle(sampled, "sample")
+    levels, weights = GRADES - 1, np.zeros(BUCKETS)
+    counts = np.zeros(GRADES)
+    for r in sampled.groupBy("grade").count().collect():
+        counts[r["grade"]] = r["count"]
+    n = int(counts.sum())
+    if not n:
+        return Model(weights.astype(np.float32), np.arange(30.0, 30.0 + levels))
+    share = (np.cumsum(counts[::-1])[::-1][1:] + 0.5 * np.arange(levels, 0, -1)) / (n + levels)
     cuts = np.log((1 - share) / share)
-    if not n or not any(map(len, features)):
+    # Without words a row's pull depends on its grade only.
+    pulls, _ = _likelihood(np.zeros(GRADES), cuts, np.arange(GRADES))
+    spread = max(float(counts @ pulls**2) / max(1, n), 1e-12)
+    pull = F.get(F.array(*[F.lit(float(p)) for p in pulls]), F.col("grade"))
+    entries = sampled.select("row", "grade", F.explode("at").alias("bucket"))
+    sums = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("docs"), F.sum(pull).alias("pull"))
+    tested = sums.where((F.col("docs") >= MIN_DOCS) & (F.abs("pull") >= MIN_SCORE * F.sqrt(F.col("docs") * spread)))
+    tested = settle(tested.select("bucket"), "tested")
+    # At most one row per bucket, so the list may be broadcast.
+    held = entries.join(F.broadcast(tested), "bucket").groupBy("row", "grade").agg(F.sort_array(F.collect_list("bucket")).alias("at"))
+    got = held.toPandas().sort_values("row")
+    if got.empty:
         return Model(weights.astype(np.float32), cuts)
-    rows, columns = np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features)
-    docs = np.bincount(columns, minlength=BUCKETS)
-    pull, _ = _likelihood(np.zeros(n), cuts, grades)
-    test = np.abs(np.bincount(columns, weights=pull[rows], minlength=BUCKETS)) / np.sqrt(np.maximum(docs, 1) * max(pull.var(), 1e-12))
-    used = np.flatnonzero((docs >= MIN_DOCS) & (test >= MIN_SCORE))
-    slot = np.full(BUCKETS, -1)
-    slot[used] = np.arange(len(used))
-    columns = slot[columns]
-    rows, columns = rows[columns >= 0], columns[columns >= 0]
+    # Rows without any fitted bucket all score the same: one stands for those of a grade, with their number as weight.
+    bare = counts - np.bincount(got["grade"], minlength=GRADES)
+    features = [np.asarray(at, np.int64) for at in got["at"]]
+    grades = np.concatenate([got["grade"].to_numpy(np.int64), np.arange(GRADES)])
+    times = np.concatenate([np.ones(len(got)), bare])
+    rows, columns = np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate(features)
+    used, columns = np.unique(columns, return_inverse=True)
     # Parameters: the weights, the first cut, and the logarithms of the steps to the next cuts.
     m = len(used)
     theta = np.concatenate([np.zeros(m), cuts[:1], np.log(np.maximum(np.diff(cuts), 1e-3))])
@@ -105,8 +141,8 @@ def fit(features: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS) ->
     for t in range(1, rounds + 1):
         steps = np.exp(theta[m + 1 :])
         cuts = theta[m] + np.concatenate([[0.0], np.cumsum(steps)])
-        score = np.bincount(rows, weights=theta[columns], minlength=n)
-        pull, by_cut = _likelihood(score, cuts, grades)
+        score = np.bincount(rows, weights=theta[columns], minlength=len(grades))
+        pull, by_cut = _likelihood(score, cuts, grades, times)
         tails = np.cumsum(by_cut[::-1])[::-1]
         by_weight = np.bincount(columns, weights=pull[rows], minlength=m) - DECAY * theta[:m]
         gradient = np.concatenate([by_weight, tails[:1], tails[1:] * steps]) / n
@@ -118,27 +154,6 @@ def fit(features: list[np.ndarray], grades: np.ndarray, rounds: int = ROUNDS) ->
     return Model(weights.astype(np.float32), theta[m] + np.concatenate([[0.0], np.cumsum(np.exp(theta[m + 1 :]))]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of about ``rows`` labelled documents, chosen by a hash of their id.
-
-    The ids chosen are few, so they are sent to the documents instead of the other way.
-    """
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
-    limit = int(min(1.0, rows / max(1, known.count())) * (1 << 32))
-    chosen = known.where(F.xxhash64("doc_id").bitwiseAND((1 << 32) - 1) < limit)
-    chosen = chosen.select("doc_id", grade(F.col("toxic"), F.col("quality")).alias("grade"))
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [buckets(text.as_py()) for text in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "at"])
-
-    id_kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
-    got = joined.mapInArrow(read, f"doc_id {id_kind}, grade int, at array<int>").toPandas().sort_values("doc_id")
-    return [np.asarray(at, np.int32) for at in got["at"]], got["grade"].to_numpy(np.int64)
-
-
 def severity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, model: Model | None = None
 ) -> DataFrame:
@@ -150,7 +165,7 @@ def severity(
     may be NULL, an empty table gives no rows, and other columns are not looked at.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    fitted = model or fit(*sample(slim, labels, sample_rows))
+    fitted = model or fit(sample(slim, labels, sample_rows))
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
     id_kind = slim.schema["doc_id"].dataType.simpleString()
 
