@@ -1,0 +1,51 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+LONG = "lorem ipsum dolor sit amet " * 30_000
+#: Repeated rows, ties, no text, no words, no source or language, a very long text.
+AWKWARD = [
+    (1, "", "en", "a"),
+    (2, None, "en", "a"),
+    (3, " \t\n ", None, "b"),
+    (4, "one two", "en", None),
+    (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "en", "b"),
+    (5, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda", "en", "b"),
+    (6, "alpha beta gamma\ndelta epsilon  zeta eta theta iota kappa lambda", "en", "a"),
+    (7, LONG, "la", "c"),
+    (8, LONG, "la", "c"),
+    (9, "漢字 かな 漢字 ... 4111111111111111 a@b.example +1 (555) 010-0000", "ja", "c"),
+]
+#: Names that operators use inside.
+CLASHING = ("size", "key", "chunk", "row", "kept", "node", "comp", "n", "digest", "items", "host", "level", "part", "at", "ids", "bytes", "words")
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    """Documents from ``(doc_id, text[, lang, source])``."""
+
+    def make(rows, parts=3):
+        full = [(*row, *("en", "s0")[len(row) - 2 :]) for row in rows]
+        return spark.createDataFrame(full, "doc_id bigint, text string, lang string, source string").repartition(parts)
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def awkward(spark, docs):
+    from pyspark.sql import functions as F
+
+    return docs(AWKWARD).select("*", *[F.lit(f"x{i}").alias(name) for i, name in enumerate(CLASHING)])
+
+
+@pytest.fixture(scope="session")
+def nothing(docs):
+    return docs([])
+
+
+@pytest.fixture(scope="session")
+def small():
+    return "/root/testdata/sf0.001"

@@ -1,0 +1,42 @@
+import random
+
+import brute
+import pytest
+from conftest import AWKWARD
+from pyspark.sql import functions as F
+
+from stepfall.llm import bpe
+
+PARTS = ["a", "b", " ", "  ", "\n", "'", "'re", "'s", "1", "é", " ", "漢字", ".", "!!", "\t", "ab cd ", "\x85", "\x1c", "🙂"]
+
+
+def _digests(df):
+    return sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk": 50, "overlap": 12}, {"chunk": 64, "overlap": 30}, {"chunk": 400, "overlap": 100}])
+def test_matches_the_library(docs, sizes):
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 1500)))) for i in range(150)]
+    rows += [(1000, "a" * 3000), (1001, " " * 3000), (1002, "!" * 2000 + "a b"), (1003, "ab " + " " * 900 + "c"), (1004, "漢" * 999)]
+    assert _digests(bpe.round_trip(docs(rows), **sizes)) == sorted(((i, *brute.tokens(t)) for i, t in rows), key=str)
+
+
+def test_pieces_put_together_are_the_text(docs):
+    rng = random.Random(2)
+    text = "".join(rng.choice(PARTS) for _ in range(4000))
+    long = docs([(1, text)]).withColumn("row", F.lit(7).cast("long"))
+    pieces = sorted((r.at, r.piece) for r in bpe.pieces_of_long(long.select("row", "doc_id", "text"), 100, 40).collect())
+    assert "".join(p for _, p in pieces) == text and len(pieces) > 20
+
+
+def test_decoding_gives_the_bytes_back(docs):
+    rows = bpe.decode(bpe.encode(docs([(1, "naïve 漢字\n"), (2, None)]))).collect()
+    assert {r.doc_id: bytes(r.bytes) for r in rows} == {1: "naïve 漢字\n".encode(), 2: b""}
+
+
+def test_awkward_rows(awkward, nothing, docs):
+    assert _digests(bpe.round_trip(awkward)) == sorted(((i, *brute.tokens(t)) for i, t, *_ in AWKWARD), key=str)
+    assert bpe.round_trip(nothing).collect() == []
+    unnamed = [(None, "x y z " * 40), (None, "x y z " * 40), (None, "q")]
+    assert _digests(bpe.round_trip(docs(unnamed), chunk=50, overlap=12)) == sorted(((i, *brute.tokens(t)) for i, t in unnamed), key=str)

@@ -1,0 +1,74 @@
+import random
+
+import duckdb
+import pandas as pd
+import pytest
+
+from stepfall.llm import chat
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def _talks(seed):
+    rng = random.Random(seed)
+    lines = ["alpha beta", "gamma delta", "Yes", "no way  man", "hello", "ok", "", "see below"]
+    rows = []
+    for conv in range(30):
+        texts = []
+        for turn in range(rng.randint(1, 12)):
+            own = []
+            for _ in range(rng.randint(0, 3)):
+                if texts and rng.random() < 0.7:
+                    said = rng.choice(texts).split("\n")
+                    i = rng.randrange(len(said))
+                    own += [rng.choice(["> ", ">"]) + line.upper() for line in said[i : rng.randint(i + 1, len(said))]]
+                own += [rng.choice(lines) for _ in range(rng.randint(0, 2))]
+            texts.append("\n".join(own))
+            # Turns far apart lie in different blocks of the search.
+            rows.append((conv, turn * rng.choice([1, 3000]) + conv, "user" if turn % 2 else None, texts[-1] if rng.random() < 0.97 else None))
+    return list({row[:2]: row for row in rows}.values())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_matches_check_sql(spark, seed):
+    rows = _talks(seed)
+    got = chat.unquoted(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841
+    want = duckdb.sql(chat.ORACLE_SQL).df()
+    key = ["conv_id", "turn"]
+    a, b = (df.sort_values(key).reset_index(drop=True)[list(got.columns)] for df in (got, want))
+    assert len(a) == len(rows) and a["reply_to"].notna().sum() > 30 and a["deepest"].max() > 1
+    for column in a.columns:
+        assert ((a[column] == b[column]) | (a[column].isna() & b[column].isna())).all(), column
+
+
+def test_a_quote_is_linked_and_removed(spark):
+    rows = [
+        (1, 0, "user", "What is the plan?\nTell me."),
+        (1, 1, "assistant", "> what is the   plan?\nWe wait."),
+        (1, 2, "user", ">> What is the plan?\n> We wait.\nFor how long?"),
+        (1, 3, "assistant", "> Unknown words\nSure."),
+        (2, 1, "user", "> What is the plan?"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in chat.unquoted(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[1, t].reply_to for t in range(4)] == [None, 0, 1, None]
+    assert [(got[1, t].thread, got[1, t].depth) for t in range(4)] == [(0, 0), (0, 1), (0, 2), (3, 0)]
+    assert got[1, 2].body == "For how long?" and got[1, 2].deepest == 2 and got[1, 2].quoted_lines == 2
+    assert got[1, 1].message == "<|assistant|>\nWe wait.\n<|end|>\n"
+    assert got[2, 1].reply_to is None and got[2, 1].body == ""
+
+
+def test_a_line_repeated_without_end(spark):
+    """A conversation that says and quotes one line 3,000 times: each quote finds the turn before."""
+    rows = [(1, t, "user", "> same line" if t % 2 else "same line") for t in range(3_000)]
+    got = chat.unquoted(spark.createDataFrame(rows, SCHEMA))
+    assert {r.turn: r.reply_to for r in got.where("turn % 2 = 1").collect()} == {t: t - 1 for t in range(1, 3_000, 2)}
+
+
+def test_awkward_rows(spark):
+    rows = [(1, 0, None, None), (1, 0, None, None), (None, 3, "user", "> a"), (1, None, "user", "> a"), (1, 1, "x", ">" * 50), (1, 2, "x", "a\n" * 20_000)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS row", "2 AS level", "3 AS thread", "4 AS source", "5 AS hash")
+    got = chat.unquoted(df).collect()
+    assert len(got) == len(rows) and all(r.reply_to is None for r in got)
+    assert next(r for r in got if r.turn == 1).deepest == 50
+    assert chat.unquoted(spark.createDataFrame([], SCHEMA)).collect() == []
