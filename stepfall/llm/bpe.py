@@ -158,6 +158,36 @@ def _arrow(df: DataFrame, name: str) -> pa.DataType:
     return to_arrow_type(df.schema[name].dataType)
 
 
+def _ids(batches: Iterator[pa.RecordBatch], ranks: str, text_col: str, keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        yield pa.RecordBatch.from_arrays([*(batch[name] for name in keep), _id_lists(batch[text_col], ranks)], [*keep, "ids"])
+
+
+def _raw(batches: Iterator[pa.RecordBatch], ranks: str, ids_col: str, out_col: str) -> Iterator[pa.RecordBatch]:
+    table = _bytes_of(ranks).__getitem__
+    for batch in _slices(batches):
+        raw = [b"".join(map(table, row.as_py() or ())) for row in batch[ids_col]]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, out_col])
+
+
+def _short_and_long(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    long = slim.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    return slim.where(F.length("text") <= chunk), long
+
+
+def _encode_long(long: DataFrame, ranks: str, chunk: int, overlap: int) -> DataFrame:
+    id_kind = long.schema["doc_id"].dataType.simpleString()
+    pieces = pieces_of_long(long, chunk, overlap).repartition("row", "at")
+    encoded = pieces.mapInArrow(lambda b: _ids(b, ranks, "piece", ("row", "doc_id", "at")), f"row long, doc_id {id_kind}, at long, ids array<int>")
+
+    def joined(doc: pd.DataFrame) -> pd.DataFrame:
+        doc = doc.sort_values("at")
+        return pd.DataFrame({"doc_id": doc["doc_id"].iloc[:1].to_numpy(), "ids": [np.concatenate([np.asarray(x, np.int32) for x in doc["ids"]])]})
+
+    return encoded.groupBy("row").applyInPandas(joined, f"doc_id {id_kind}, ids array<int>")
+
+
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP
 ) -> DataFrame:
@@ -168,48 +198,30 @@ def encode(
     of their own, and NULL ids are allowed. An empty table gives no rows; other columns
     are not looked at.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    id_kind = slim.schema["doc_id"].dataType.simpleString()
-    id_type = _arrow(slim, "doc_id")
-    size = F.length("text")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], _id_lists(batch["text"], ranks)], ["doc_id", "ids"])
-
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            own = [batch["row"], batch["doc_id"], batch["at"], _id_lists(batch["piece"], ranks)]
-            yield pa.RecordBatch.from_arrays(own, ["row", "doc_id", "at", "ids"])
-
-    def joined(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values("at")
-        return pd.DataFrame({"doc_id": doc["doc_id"].iloc[:1].to_numpy(), "ids": [np.concatenate([np.asarray(x, np.int32) for x in doc["ids"]])]})
-
-    short = slim.where(size <= chunk).mapInArrow(whole, f"doc_id {id_kind}, ids array<int>")
-    long = slim.where(size > chunk).withColumn("row", F.monotonically_increasing_id())
-    pieces = pieces_of_long(long, chunk, overlap).repartition("row", "at")
-    encoded = pieces.mapInArrow(part, f"row long, doc_id {id_kind}, at long, ids array<int>")
-    return short.unionByName(encoded.groupBy("row").applyInPandas(joined, f"doc_id {id_kind}, ids array<int>"))
+    short, long = _short_and_long(docs, id_col, text_col, chunk)
+    id_kind = short.schema["doc_id"].dataType.simpleString()
+    whole = short.mapInArrow(lambda b: _ids(b, ranks, "text", ("doc_id",)), f"doc_id {id_kind}, ids array<int>")
+    return whole.unionByName(_encode_long(long, ranks, chunk, overlap))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", ranks: str = RANKS, out_col: str = "bytes") -> DataFrame:
     """Adds the raw bytes that the ids stand for; no ids, no bytes. NULL ids count as none."""
-    schema = encoded.schema
-
-    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _bytes_of(ranks).__getitem__
-        for batch in _slices(batches):
-            raw = [b"".join(map(table, row.as_py() or ())) for row in batch[ids_col]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*batch.schema.names, out_col])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
+    return encoded.mapInArrow(lambda b: _raw(b, ranks, ids_col, out_col), f"{kinds}, `{out_col}` binary")
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return encoded.mapInArrow(bytes_of, f"{kinds}, `{out_col}` binary")
 
+def round_trip(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of the ids, and of what they decode to.
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: digests of the ids, and of what they decode to."""
-    both = decode(encode(docs, id_col, text_col, **options))
+    As ``decode(encode(docs))``, but short texts go both ways in one Python worker.
+    """
+    short, long = _short_and_long(docs, id_col, text_col, chunk)
+    id_kind = short.schema["doc_id"].dataType.simpleString()
+    there_and_back = lambda b: _raw(_ids(b, ranks, "text", ("doc_id",)), ranks, "ids", "bytes")
+    both = short.mapInArrow(there_and_back, f"doc_id {id_kind}, ids array<int>, bytes binary")
+    both = both.unionByName(decode(_encode_long(long, ranks, chunk, overlap), "ids", ranks, "bytes"))
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select(
         "doc_id",
