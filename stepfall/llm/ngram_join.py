@@ -13,10 +13,11 @@ Two documents link when their shingle sets have a Jaccard similarity of 0.8 or m
    compared with one of them, the leader; comparisons of one leader are a walk
    through the prefix tree of the others, in blocks of bounded size.
 4. *The rest.* Where an element's nodes do not lie in one component yet, they are
-   compared with each other across components, in blocks of bounded size.
+   compared with each other across components, again in blocks of bounded size.
 
 Steps 3 and 4 test every pair that shares a prefix element, except pairs that are
-connected already, so the components are exact. Nothing is capped.
+connected already or whose sizes rule a link out, so the components are exact. Nothing
+is capped.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfall.llm import golomb
@@ -36,10 +37,10 @@ from stepfall.llm.shingles import shingle_sets
 from stepfall.llm.trie import Trie
 
 #: Characters of text meant to be in one chunk, and shingles meant to be with one owner.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 OWNER_SHINGLES = 4_000_000
-#: Nodes compared in one block.
-BLOCK = 256
+#: Nodes compared with a leader in one block, and set elements in one part of a larger group.
+BLOCK, PART_ELEMENTS = 128, 1 << 16
 SPARE_BITS = 8
 _LEVEL_SHIFT, _MAX_LEVEL = 59, 15
 
@@ -156,51 +157,91 @@ def _blocks_of(pairs: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
     return salted.unionByName(own).join(nodes.select("node", "n", "items"), "node")
 
 
-def _star_links(leader_col: str):
-    def links(block: pd.DataFrame) -> pd.DataFrame:
-        leads = (block["node"] == block[leader_col]).to_numpy()
-        lead, rest = block[leads].iloc[0], block[~leads]
-        trie = Trie([np.asarray(x, np.int64) for x in rest["items"]], rest["n"].tolist())
-        found = trie.similar(np.asarray(lead["items"], np.int64), int(lead["n"]))
-        return pd.DataFrame({"a": lead["node"], "b": rest["node"].to_numpy()[found]})
-
-    return links
+def _star_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Links between a leader and the members of one of its blocks."""
+    leads = (block["node"] == block["leader"]).to_numpy()
+    lead, rest = block[leads].iloc[0], block[~leads]
+    trie = Trie([np.asarray(x, np.int64) for x in rest["items"]], rest["n"].tolist())
+    found = trie.similar(np.asarray(lead["items"], np.int64), int(lead["n"]))
+    return pd.DataFrame({"a": lead["node"], "b": rest["node"].to_numpy()[found]})
 
 
 def _cross_links(block: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect different components within a block."""
-    sets = [np.asarray(x, np.int64) for x in block["items"]]
-    sizes, nodes = block["n"].tolist(), block["node"].to_numpy()
-    label = block["comp"].to_numpy().copy()
-    trie, out = Trie(sets, sizes), []
-    for i in range(len(sets)):
-        together = set(np.flatnonzero(label == label[i]).tolist())
-        if len(together) == len(sets):
-            break
-        for j in trie.similar(sets[i], sizes[i], together):
-            out.append((nodes[i], nodes[j]))
-            label[label == label[j]] = label[i]
+    """Links between a block's probes and its targets that connect different components."""
+    probes, targets = block[block["probe"]], block[~block["probe"]]
+    sets = [np.asarray(x, np.int64) for x in targets["items"]]
+    trie, names, out = Trie(sets, targets["n"].tolist()), targets["node"].to_numpy(), []
+    label = targets["comp"].to_numpy().copy()
+    joined: dict[int, int] = {}
+    for node, comp, n, items in zip(probes["node"], probes["comp"], probes["n"], probes["items"], strict=True):
+        own = joined.get(comp, comp)
+        for j in trie.similar(np.asarray(items, np.int64), int(n), set(np.flatnonzero(label == own).tolist())):
+            out.append((node, names[j]))
+            gone = label[j]
+            label[label == gone] = own
+            joined |= {c: own for c, now in joined.items() if now == gone} | {int(gone): own}
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _rest(prefixes: DataFrame, nodes: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+def _can_link(n: Column, alone: Column, m: Column, other_alone: Column) -> Column:
+    """Sizes that allow a link: elements of one document are in no intersection."""
+    shared = F.least(n - alone, m - other_alone)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * shared >= 4 * (n + m))
+
+
+def _feasible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    own = nodes.select("node", "n", "alone")
+    lead = nodes.select(F.col("node").alias("leader"), F.col("n").alias("m"), F.col("alone").alias("m_alone"))
+    sized = pairs.join(own, "node").join(lead, "leader")
+    return sized.where(_can_link(*map(F.col, ("n", "alone", "m", "m_alone")))).select("leader", "node")
+
+
+def _compared(pairs: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """The links among ``(leader, node)`` pairs."""
+    return _blocks_of(pairs, nodes, block).groupBy("leader", "salt").applyInPandas(_star_links, "a long, b long")
+
+
+def _rest(prefixes: DataFrame, nodes: DataFrame, labels: DataFrame, block: int, elements: int) -> DataFrame:
     """Links across components between nodes that share a prefix element.
 
-    An element's nodes are one block, or, beyond ``block`` of them, a block for each
-    two of their parts. Elements with the same nodes give the same block once.
+    Elements with the same nodes are looked at once. Up to ``block`` nodes, pairs whose
+    sizes allow a link are compared. In larger groups most nodes are of one component as a
+    rule; the others are probes, and every node is a target. Probes and targets are dealt to
+    parts of about ``elements`` set elements, and each part of probes is searched for in each
+    part of targets, so no pairs are made of them.
     """
-    held = prefixes.join(labels, "node")
+    held = settle(prefixes.join(labels, "node").join(nodes.select("node", "n", "alone"), "node"), "held")
     mixed = held.groupBy("item").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count(F.lit(1)) / block).alias("parts"),
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size"),
         F.bit_xor(F.xxhash64("node")).alias("who"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND((1 << 40) - 1)).alias("who_too"),
-    ).where("low < high")
-    once = settle(mixed.groupBy("who", "who_too", "parts").agg(F.min("item").alias("item")).select("item", "parts"), "mixed")
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    placed = held.join(once, "item").withColumn("part", part)
-    other = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    grid = other.select("item", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "node", "comp")
-    sets = grid.join(nodes.select("node", "n", "items"), "node")
-    return sets.groupBy("item", "x", "y").applyInPandas(_cross_links, "a long, b long")
+    ).where("low < high")
+    once = settle(mixed.groupBy("who", "who_too", "size").agg(F.min("item").alias("item")).select("item", "size"), "mixed")
+    few = settle(held.join(once.where(F.col("size") <= block).select("item"), "item"), "few")
+    other = few.select("item", *[F.col(c).alias(f"o_{c}") for c in ("node", "comp", "n", "alone")])
+    cross = (F.col("node") < F.col("o_node")) & (F.col("comp") != F.col("o_comp"))
+    near = few.join(other, (few["item"] == other["item"]) & cross & _can_link(*map(F.col, ("n", "alone", "o_n", "o_alone"))))
+    pairs = settle(near.select(F.col("node").alias("leader"), F.col("o_node").alias("node")).distinct(), "pairs")
+    found = _compared(pairs, nodes, block)
+
+    many = settle(held.join(once.where(F.col("size") > block).select("item"), "item"), "many")
+    weight = F.sum(F.col("n") - F.col("alone")).alias("weight")
+    by_comp = many.groupBy("item", "comp").agg(F.count(F.lit(1)).alias("size"), weight)
+    most = F.max(F.struct("size", "comp", "weight")).alias("most")
+    dealt = by_comp.groupBy("item").agg(most, F.sum("weight").alias("weight")).select(
+        "item",
+        F.col("most.comp").alias("main"),
+        F.ceil((F.col("weight") - F.col("most.weight") + 1) / elements).alias("probe_parts"),
+        F.ceil(F.col("weight") / elements).alias("target_parts"),
+    )
+    placed = many.join(settle(dealt, "dealt"), "item").withColumn("hash", F.xxhash64("node", F.lit(2)))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1))
+    columns = ["item", "node", "comp"]
+    targets = placed.select(*columns, F.lit(False).alias("probe"), every("probe_parts").alias("p"), F.pmod("hash", "target_parts").alias("t"))
+    probes = placed.where("comp <> main").select(
+        *columns, F.lit(True).alias("probe"), F.pmod("hash", "probe_parts").alias("p"), every("target_parts").alias("t")
+    )
+    sets = targets.unionByName(probes).join(nodes.select("node", "n", "items"), "node")
+    return found.unionByName(sets.groupBy("item", "p", "t").applyInPandas(_cross_links, "a long, b long"))
 
 
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -208,24 +249,25 @@ def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(found, F.col("node") == F.col("known"), "left").select("node", F.coalesce("comp", "node").alias("comp"))
 
 
-def connected(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
+def connected(nodes: DataFrame, block: int = BLOCK, elements: int = PART_ELEMENTS) -> DataFrame:
     """``(node, comp)`` for every node."""
     prefixes = settle(_prefixes(nodes), "prefixes")
     leaders = prefixes.groupBy("item").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     leaders = settle(leaders.select("item", "leader"), "leaders")
     pairs = prefixes.join(leaders, "item").where("node <> leader").select("leader", "node").distinct()
-    pairs = settle(pairs, "pairs")
-    stars = _blocks_of(pairs, nodes, block).groupBy("leader", "salt").applyInPandas(_star_links("leader"), "a long, b long")
-    stars = settle(stars, "stars")
+    pairs = settle(_feasible(settle(pairs, "pairs"), nodes), "feasible")
+    stars = settle(_compared(pairs, nodes, block), "stars")
     labels = settle(_labels(nodes, stars), "labels")
     shared = prefixes.join(leaders.select("item"), "item", "left_semi")
-    rest = settle(_rest(shared, nodes, labels, block), "rest")
+    rest = settle(_rest(shared, nodes, labels, block, elements), "rest")
     if rest.isEmpty():
         return labels
     return _labels(nodes, stars.unionByName(rest))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, **sizes: int) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, elements: int = PART_ELEMENTS, **sizes: int
+) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, the row's own included.
@@ -237,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets = settle(ordered_sets(slim, **sizes), "sets")
     nodes = settle(_nodes(sets), "nodes")
-    labels = connected(nodes, block)
+    labels = connected(nodes, block, elements)
     named = nodes.join(labels, "node").select("digest", "first_id", "comp")
     named = settle(named, "named")
     smallest = settle(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "smallest")

@@ -30,10 +30,11 @@ def _corpus(seed, bases=6, copies=12):
     return [(i, rng.choice([" ", "\n"]).join(w.upper() if rng.random() < 0.1 else w for w in t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed, block", [(1, 256), (2, 256), (3, 4), (4, 2)])
-def test_matches_brute_force(docs, seed, block):
+@pytest.mark.parametrize("seed, block, elements", [(1, 128, 1000), (2, 128, 1000), (3, 4, 1000), (4, 2, 150), (5, 1, 40), (6, 1, 10**6)])
+def test_matches_brute_force(docs, seed, block, elements):
     rows = _corpus(seed)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows, 4), block=block).collect()}
+    found = near_duplicates(docs(rows, 4), block=block, elements=elements)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()}
     assert got == brute.near(rows)
 
 
