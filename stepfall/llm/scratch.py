@@ -35,8 +35,8 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a new folder, which the session then keeps."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, or the context's checkpoint folder; where neither is set (tests), a new one, which the session keeps."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="stepfall-")
         spark.conf.set("spark.checkpoint.dir", folder)
