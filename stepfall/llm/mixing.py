@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfall.llm.scratch import settle
-from stepfall.llm.text import SPACES, WORD, whole, word_count
+from stepfall.llm.text import SPACES, WORD, word_count
 
 #: Weights by rank of the source (code point order, NULL last), repeated.
 WEIGHTS = (1, 2, 3)

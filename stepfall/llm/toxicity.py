@@ -81,20 +81,24 @@ def _likelihood(score: np.ndarray, cuts: np.ndarray, grades: np.ndarray, times:
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``(row, grade, at)`` of about ``rows`` labelled documents, chosen by a hash of their id; ``at`` are their buckets.
 
-    The ids chosen are few, so they are sent to the documents instead of the other way.
+    The ids chosen are few, so they are sent to the documents instead of the other way. An id
+    counts once: of repeated labels the most severe, of repeated documents one.
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL")
     limit = int(min(1.0, rows / max(1, known.count())) * (1 << 32))
     chosen = known.where(F.xxhash64("doc_id").bitwiseAND((1 << 32) - 1) < limit)
-    chosen = chosen.select("doc_id", grade(F.col("toxic"), F.col("quality")).alias("grade"))
+    chosen = chosen.groupBy("doc_id").agg(F.max(grade(F.col("toxic"), F.col("quality"))).alias("grade"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [buckets(text.as_py()) for text in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["grade"], pa.array(found, pa.list_(pa.int32()))], ["grade", "at"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["grade"], pa.array(found, pa.list_(pa.int32()))], ["doc_id", "grade", "at"])
 
-    joined = docs.join(F.broadcast(chosen), "doc_id").select("grade", "text")
-    return joined.mapInArrow(read, "grade int, at array<int>").withColumn("row", F.monotonically_increasing_id())
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")
+    rows_read = joined.mapInArrow(read, f"doc_id {id_kind}, grade int, at array<int>")
+    one = rows_read.groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min("at").alias("at"))
+    return one.select("grade", "at").withColumn("row", F.monotonically_increasing_id())
 
 
 def fit(sampled: DataFrame, rounds: int = ROUNDS) -> Model:
