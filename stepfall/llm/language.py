@@ -70,12 +70,13 @@ def _suffix(host: Column) -> Column:
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Labels and the log probability of each bucket under each, from rows of ``key``, ``text`` and ``label``.
 
-    The sample is the rows whose key hashes below a limit that about ``sample_rows``
-    of all rows meet. Only bucket counts reach the driver, of known size at most.
+    The sample is the labelled rows whose key and text hash below a limit that about
+    ``sample_rows`` of them meet, and the one with the smallest hash in any case. Only
+    bucket counts reach the driver, of known size at most.
     """
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    limit = int(share * (1 << 32))
-    sample = rows.where(F.col("label").isNotNull() & (F.xxhash64("key").bitwiseAND((1 << 32) - 1) < limit))
+    labelled = rows.where("label IS NOT NULL").withColumn("hash", F.xxhash64("key", "text").bitwiseAND((1 << 32) - 1))
+    n, least = labelled.agg(F.count(F.lit(1)), F.coalesce(F.min("hash"), F.lit(0))).first()
+    sample = labelled.where(F.col("hash") <= max(least, int(min(1.0, sample_rows / max(1, n)) * (1 << 32)) - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -41,6 +41,24 @@ def test_priors_decide_where_text_does_not(docs):
     assert all(got[i].detected == "en" for i in range(40)) and all(got[100 + i].detected == "fr" for i in range(40))
 
 
+EN, FR = "the house of the king and the queen " * 4, "la maison de la reine et du roi " * 4
+
+
+def test_few_labels_among_many_rows(docs):
+    """The sample is a share of the labelled rows, and a NULL id does not decide for all its rows."""
+    for ids in (range(4000), [None] * 4000):
+        rows = [(i, f"{(EN, FR)[n % 2]} {n}", (("en", "fr")[n % 2] if n < 8 else None), "a") for n, i in enumerate(ids)]
+        got = language.identify(docs(rows), sample_rows=20).groupBy("detected", "kept").count().collect()
+        assert sorted((r.detected, r.kept, r["count"]) for r in got) == [("en", True, 2000), ("fr", True, 2000)]
+
+
+def test_the_sample_is_never_empty(docs):
+    """All labelled rows are copies, which hash alike."""
+    for i in range(4):
+        got = language.identify(docs([(i, EN, "en", "a")] * 30 + [(99, EN, None, "a")]), sample_rows=1).collect()
+        assert all(r.kept and r.detected == "en" for r in got)
+
+
 def test_awkward_rows(awkward, nothing, docs):
     rows = language.identify(awkward).collect()
     assert len(rows) == len(AWKWARD)
