@@ -8,6 +8,9 @@
 * Address: the share of each language on the host, shrunk towards its address suffix,
   which is shrunk towards the whole corpus. Rows count with their text posterior.
 
+Languages beyond the text table are one class. Its rows are named by what they declare,
+else by what most of such rows on their host declare.
+
 Counts are grouped aggregations over every row. A host with a third of all rows is
 summed in the map tasks; host rows join back to documents without their texts.
 """
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from stepfall.llm.scratch import settle
 from stepfall.llm.text import whole
 
-#: Labelled rows the text model is fitted on, about; the labels it may know; its hash range.
+#: Labelled rows the text model is fitted on, about; the labels with a column of their own; its hash range.
 SAMPLE_ROWS = 20_000
 MAX_LANGUAGES = 64
 BUCKETS = 1 << 15
@@ -35,6 +38,8 @@ PRIOR_ROWS = 20.0
 DECLARED_NOISE = 0.05
 MIN_TRIGRAMS, MIN_PROBABILITY = 1, 0.5
 UNKNOWN = "und"
+#: The class of all languages that are not in the text table.
+OTHER = "(other)"
 
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[:128] = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(128)]
@@ -67,16 +72,33 @@ def _suffix(host: Column) -> Column:
     return F.nullif(F.regexp_extract(host, r"\.([a-z0-9-]+)$", 1), F.lit(""))
 
 
+def _sample(labelled: DataFrame, sample_rows: int) -> DataFrame:
+    """About ``sample_rows`` of ``(key, text, label, hash)``, with the class a label is fitted in as ``label``.
+
+    Labels are counted over all rows. Those with most rows are classes of their own, the others one class, ``OTHER``.
+    Classes share the sample evenly; what small ones leave goes to the larger ones. Each has one row at least.
+    """
+    counts = settle(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")), "labels")
+    top = counts.where(F.col("label") != OTHER).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).select("label").collect()
+    named = F.when(F.col("label").isin([r.label for r in top]), F.col("label")).otherwise(F.lit(OTHER)).alias("label")
+    sizes = counts.groupBy(named).agg(F.sum("n").alias("n"), F.min("least").alias("least")).orderBy("n", "label").collect()
+    left, limit = sample_rows, F.lit(-1)
+    for i, (label, n, least) in enumerate(sizes):
+        quota = min(n, left / (len(sizes) - i))
+        left -= quota
+        limit = F.when(F.col("label") == label, max(least, int(quota / n * (1 << 32)) - 1)).otherwise(limit)
+    return labelled.select("key", "text", named, "hash").where(F.col("hash") <= limit).drop("hash")
+
+
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Labels and the log probability of each bucket under each, from rows of ``key``, ``text`` and ``label``.
 
-    The sample is the labelled rows whose key and text hash below a limit that about
-    ``sample_rows`` of them meet, and the one with the smallest hash in any case. Only
-    bucket counts reach the driver, of known size at most.
+    Labels beyond the ``MAX_LANGUAGES`` with most rows share the last one, ``OTHER``.
+    Rows are sampled by the hash of key and text, about as many of each class. Only bucket
+    counts reach the driver, of known size at most.
     """
     labelled = rows.where("label IS NOT NULL").withColumn("hash", F.xxhash64("key", "text").bitwiseAND((1 << 32) - 1))
-    n, least = labelled.agg(F.count(F.lit(1)), F.coalesce(F.min("hash"), F.lit(0))).first()
-    sample = labelled.where(F.col("hash") <= max(least, int(min(1.0, sample_rows / max(1, n)) * (1 << 32)) - 1))
+    sample = _sample(labelled, sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -91,12 +113,28 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.
 
     counted = sample.select("label", "text").mapInArrow(count, "label string, bucket int, n long")
     counted = settle(counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")), "counts")
-    sizes = counted.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES)
-    labels = sorted(r.label for r in sizes.collect())
+    labels = sorted(r.label for r in counted.select("label").distinct().collect())
+    if OTHER in labels:
+        labels = [*(label for label in labels if label != OTHER), OTHER]
     table = np.ones((BUCKETS, len(labels)))
-    for label, bucket, n in counted.where(F.col("label").isin(labels)).toPandas().itertuples(index=False):
+    for label, bucket, n in counted.toPandas().itertuples(index=False):
         table[bucket, labels.index(label)] += n
-    return labels, np.log(table / table.sum(axis=0))
+    table = np.log(table / table.sum(axis=0))
+    if len(labels) > 1 and labels[-1] == OTHER:
+        table[:, -1] += _handicap(sample, labels, table)
+    return labels, table
+
+
+def _handicap(sample: DataFrame, labels: list[str], table: np.ndarray) -> float:
+    """What ``OTHER`` gets per trigram: many languages in one class fit each of its texts worse than a language its own.
+
+    Midway between what the best known language is ahead by on known and on other texts of the sample.
+    """
+    scored = _scored(sample.withColumn("other", F.col("label") == OTHER), table).where(F.col("trigrams") >= MIN_TRIGRAMS)
+    best = F.array_max(F.slice("likely", 1, len(labels) - 1))
+    ahead = (best - F.get("likely", len(labels) - 1)) / F.least(F.col("trigrams").cast("double"), F.lit(TEXT_WEIGHT))
+    means = [r.ahead for r in scored.groupBy("other").agg(F.avg(ahead).alias("ahead")).collect()]
+    return sum(means) / len(means)
 
 
 def _scored(rows: DataFrame, table: np.ndarray) -> DataFrame:
@@ -148,7 +186,8 @@ def identify(
     labels. Texts without a letter (NULL and empty ones too),
     or without a language of probability 0.5, get ``und`` and are not kept. A NULL
     declaration is no evidence; rows without an address share the corpus prior. Repeated
-    rows count each time. Without any label everything is ``und``. An empty table gives
+    rows count each time. A row found to be in none of the languages of the text table has
+    the language it declares, or that most such rows of its host declare, or ``und``. Without any label everything is ``und``. An empty table gives
     no rows; other columns are not looked at.
     """
     host = _host(F.col(address_col))
@@ -165,6 +204,12 @@ def identify(
                            F.lit(0).cast("long").alias("trigrams"), F.lit(False).alias("kept"))
     size = len(labels)
     scored = settle(_scored(rows, table), "scored")
+    if labels[-1] == OTHER:
+        # Declarations of languages without a column are evidence for their class.
+        beyond = F.when(~F.col("declared").isin(labels[:-1]), F.col("declared"))
+        scored = scored.withColumn("beyond", beyond).withColumn("declared", F.when(beyond.isNotNull(), OTHER).otherwise(F.col("declared")))
+    else:
+        scored = scored.withColumn("beyond", F.lit(None).cast("string"))
     shares = scored.where(F.col("trigrams") >= MIN_TRIGRAMS).withColumn("share", _softmax(F.col("likely")))
 
     counts = settle(_shares(shares, ["host", "suffix", "declared"], size), "counts")
@@ -196,8 +241,14 @@ def identify(
         "logs", F.zip_with(F.zip_with("likely", "prior", lambda a, b: a + F.log(b)), "said", lambda a, b: a + F.log(b))
     ).withColumn("posterior", _softmax(F.col("logs")))
     best = F.array_max("posterior")
-    kept = (F.col("trigrams") >= MIN_TRIGRAMS) & (best >= MIN_PROBABILITY)
     named = F.get(F.array(*map(F.lit, labels)), (F.array_position("posterior", best) - 1).cast("int"))
+    if labels[-1] == OTHER:
+        local = scored.where((F.col("trigrams") >= MIN_TRIGRAMS) & F.col("beyond").isNotNull() & F.col("host").isNotNull())
+        local = settle(local.groupBy("host", "beyond").agg(F.sum(F.get(_softmax(F.col("likely")), size - 1)).alias("n")), "local")
+        local = local.groupBy(F.col("host").alias("host__")).agg(F.max(F.struct("n", "beyond"))["beyond"].alias("local"))
+        joined = joined.join(local, F.col("host") == F.col("host__"), "left")
+        named = F.when(named != OTHER, named).otherwise(F.coalesce("beyond", "local"))
+    kept = (F.col("trigrams") >= MIN_TRIGRAMS) & (best >= MIN_PROBABILITY) & named.isNotNull()
     return joined.select(
         F.col("key").alias("doc_id"),
         F.when(kept, named).otherwise(F.lit(UNKNOWN)).alias("detected"),

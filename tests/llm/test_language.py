@@ -1,3 +1,5 @@
+import random
+
 from conftest import AWKWARD
 from pyspark.sql import functions as F
 
@@ -59,6 +61,30 @@ def test_the_sample_is_never_empty(docs):
         assert all(r.kept and r.detected == "en" for r in got)
 
 
+def test_rare_languages_among_many_rows(docs):
+    """Each language has its own share of the sample."""
+    rows = [(i, f"{EN} {i}", "en", "a") for i in range(3000)] + [(5000 + i, f"{FR} {i}", "fr", "b") for i in range(3)]
+    rows += [(6000, f"{FR} x", None, "c"), (6001, f"{EN} x", None, "c")]
+    got = {r.doc_id: r.detected for r in language.identify(docs(rows), sample_rows=40).collect()}
+    assert [got[i] for i in (0, 5000, 5001, 5002, 6000, 6001)] == ["en", "fr", "fr", "fr", "fr", "en"]
+
+
+def test_languages_beyond_the_table(docs, monkeypatch):
+    """Named by declaration or host, else und; languages of the table stay what they are."""
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 4)
+    rng = random.Random(1)
+    spoken = [["".join(rng.choices(rng.sample("abcdefghijklmnopqrstuvwxyz", 8), k=5)) for _ in range(60)] for _ in range(16)]
+    rows = []
+    for k, vocabulary in enumerate(spoken):
+        text = lambda words=vocabulary: " ".join(rng.choices(words, k=40))
+        rows += [(100 * k + i, text(), f"l{k:02}", f"h{k}.example") for i in range(30 if k < 4 else 12)]
+        rows += [(100 * k + 90, text(), None, f"h{k}.example"), (100 * k + 91, text(), None, None)]
+    got = {r.doc_id: (r.detected, r.kept) for r in language.identify(docs(rows)).collect()}
+    for i, _, declared, _ in rows:
+        k, own = divmod(i, 100)
+        assert got[i] == ((f"l{k:02}", True) if declared or k < 4 or own == 90 else ("und", False)), i
+
+
 def test_awkward_rows(awkward, nothing, docs):
     rows = language.identify(awkward).collect()
     assert len(rows) == len(AWKWARD)
