@@ -4,7 +4,8 @@ Language ID drops documents without a language; exact and near copies leave one
 document of each group; the mix repeats and cuts sources to their budgets; the last
 stage encodes what is left. Every stage but the last returns the columns of
 ``documents``. Rejected rows are found on slim tables; texts are not shuffled but
-for copies and the mix.
+for copies and the mix. Ids may be NULL or repeated: verdicts hold for an id with its
+text (and what else they rest on), not for all rows of an id.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ from stepfall.llm.exact_dedup import drop_exact_duplicates
 from stepfall.llm.language import identify
 from stepfall.llm.mixing import mixed_documents
 from stepfall.llm.ngram_join import drop_near_duplicates
-from stepfall.llm.scratch import rows_without, settle, ship
+from stepfall.llm.scratch import row_key, rows_without, settle, ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    rejected = settle(identify(docs).where(~F.col("kept")).select("doc_id").distinct(), "rejected")
-    return rows_without(docs, "doc_id", rejected)
+    keyed = docs.withColumn("_sf_row", row_key("doc_id", "text", "lang", "source"))
+    rejected = settle(identify(keyed, "_sf_row").where(~F.col("kept")).select("doc_id").distinct(), "rejected")
+    return rows_without(keyed, "_sf_row", rejected).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

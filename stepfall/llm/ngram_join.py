@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from stepfall.llm import golomb
 from stepfall.llm.components import components
-from stepfall.llm.scratch import rows_without, settle, shuffle_partitions
+from stepfall.llm.scratch import id_of, maybe_in, row_key, settle, shuffle_partitions
 from stepfall.llm.shingles import shingle_sets
 from stepfall.llm.trie import Trie
 
@@ -291,7 +291,25 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that links connect to one of a smaller id. Needs unique ids."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = settle(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return rows_without(docs, id_col, gone)
+    """``docs`` with one row of each group that links connect: that of the smallest id.
+
+    NULL ids come last; of texts with the same id, the one with the smallest digest stays,
+    and of rows that repeat both, one. Rows without words link to nothing and stay.
+    """
+    keyed = docs.withColumn("_sf_row", row_key(id_col, text_col))
+    found = settle(near_duplicates(keyed, "_sf_row", text_col).where("n_shingles > 0"), "found")
+    own = id_of(F.col("doc_id"), docs.schema[id_col].dataType)
+    first = F.min(F.struct(own.isNull().alias("none"), own.alias("id"), F.col("doc_id").alias("row"))).alias("first")
+    groups = found.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("size")).where("size > 1")
+    groups = settle(groups.select("component_id", F.col("first.row").alias("keep")), "groups")
+    hit = found.join(groups, "component_id").select(F.col("doc_id").alias("_sf_key"), (F.col("doc_id") == F.col("keep")).alias("_sf_stays"))
+    hit = settle(hit.distinct(), "hit")
+    marked = maybe_in(keyed, F.col("_sf_row"), hit.select("_sf_key"))
+    near = (
+        marked.where("_sf_maybe")
+        .join(hit, F.col("_sf_row") == F.col("_sf_key"), "left")
+        .where("_sf_stays IS NULL OR _sf_stays")
+        .withColumn("_sf_n", F.when(F.col("_sf_stays"), F.lit(-1)).otherwise(F.monotonically_increasing_id()))
+        .dropDuplicates(["_sf_row", "_sf_n"])
+    )
+    return marked.where("NOT _sf_maybe").select(*docs.columns).unionByName(near.select(*docs.columns))

@@ -50,6 +50,21 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Characters of a digest at the start of a row key.
+_DIGEST = 64
+
+
+def row_key(id_col: str, *columns: str) -> Column:
+    """What tells rows apart where ids may be NULL or repeated: a digest of ``columns``, and the id."""
+    parts = [F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("-")) for c in columns]
+    return F.concat(F.sha2(F.concat(*parts), 256), F.coalesce(F.concat(F.lit(":"), F.col(id_col).cast("string")), F.lit("")))
+
+
+def id_of(key: Column, kind: object) -> Column:
+    """The id in a row key, as of type ``kind``."""
+    return F.when(F.length(key) > _DIGEST, F.substring(key, _DIGEST + 2, (1 << 31) - 1)).cast(kind)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,0 +1,40 @@
+"""Stages decide per row, also where ids are NULL or name unlike texts."""
+
+import corpus_pipeline
+from stepfall.llm.ngram_join import drop_near_duplicates
+
+EN = "the house of the king and the queen of the land " * 6
+
+
+def _left(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+
+
+def test_language_id_keeps_clean_rows_of_a_rejected_id(spark, docs):
+    rows = [(i, f"{EN} {i}") for i in range(10)] + [(5, ""), (None, f"{EN} a"), (None, "12 34"), (None, None), (None, f"{EN} b")]
+    clean = [(i, f"{EN} {i}") for i in range(10)] + [(None, f"{EN} a"), (None, f"{EN} b")]
+    out = corpus_pipeline.language_id(spark, docs(rows), "")
+    assert _left(out) == clean and out.columns == docs(rows).columns
+
+
+def test_near_duplicates_of_null_and_repeated_ids(docs):
+    words = [[f"{name}{i}" for i in range(60)] for name in "abcde"]
+    base = [" ".join(w) for w in words]
+    near = [" ".join([*w[:-1], "end"]) for w in words]
+    rows = [(10, base[0]), (50, near[0]), (50, base[1])]  # id 50: one text near to id 10, one unlike all
+    rows += [(None, base[2]), (None, near[2]), (None, base[3])]  # near copies without ids, and another text
+    rows += [(9, base[4]), (9, near[4])]  # near copies that share the smallest id
+    rows += [(70, base[1] + " x"), (None, ""), (None, ""), (8, None), (8, None)]
+    out = drop_near_duplicates(docs(rows))
+    left = _left(out)
+    assert [r for r in left if r[0] == 10] == [(10, base[0])] and [r for r in left if r[0] == 50] == [(50, base[1])]
+    assert sum(t in (base[2], near[2]) for _, t in left) == 1 and (None, base[3]) in left
+    assert sum(i == 9 for i, _ in left) == 1 and all(i != 70 for i, _ in left)
+    assert sum(not t for _, t in left) == 4 and len(left) == 9
+    assert out.columns == docs(rows).columns
+
+
+def test_near_duplicates_leave_one_of_equal_rows(docs):
+    text = " ".join(f"w{i}" for i in range(60))
+    for rows in ([(2, text)] * 3, [(None, text)] * 3, [(None, text), (12, text), (9, text), (9, text)]):
+        assert _left(drop_near_duplicates(docs(rows))) == [(rows[-1][0], text)]
