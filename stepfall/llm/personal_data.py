@@ -5,7 +5,8 @@ lexical patterns: the words around them. Other tokens with digits or an ``@`` oc
 patterns too. On the graph of patterns and instances, a pattern's confidence in a kind is
 the mean score of its instances, an instance's score the noisy-or of its patterns, seeds
 being certain; a few rounds spread the scores. Tokens inside patterns of high
-confidence, backed by enough different seeds, become spans of that kind.
+confidence, backed by enough different seeds, become spans of that kind, and seeds of
+the next generation, until nothing new is found.
 
 Edges are aggregated before they are joined, so a context or a number that a third of all
 documents share is one row per partner. Texts are read once and never moved.
@@ -36,6 +37,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _DIGIT = re.compile(r"[0-9]")
+#: Groups of a number written with blanks, after the first, and the first.
+_GROUP, _FIRST_GROUP = re.compile(r"[0-9][0-9()./-]*"), re.compile(r"\+?[0-9][0-9()./-]*")
 _EDGES = ".,;:!?()[]{}<>\"'|"
 #: Characters looked at on either side for context words, and the shortest token that may be an identifier.
 REACH, MIN_TOKEN = 80, 5
@@ -86,8 +89,8 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def _tokens(text: str) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit or ``@``, without punctuation at the edges."""
+def _single(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Tokens with a digit or ``@``: start and end without punctuation at the edges, and with it."""
     done = 0
     for mark in _MARK.finditer(text):
         if mark.start() < done:
@@ -97,12 +100,32 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
             start -= 1
         space = _SPACE.search(text, mark.start())
         done = end = space.start() if space else len(text)
+        left, right = start, end
         while start < end and text[start] in _EDGES:
             start += 1
         while start < end and text[end - 1] in _EDGES:
             end -= 1
-        if end - start >= MIN_TOKEN:
-            yield start, end
+        yield start, end, left, right
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Candidates by start: numbers in groups with one blank between, as one, and single tokens, those groups too."""
+    run: list[tuple[int, int]] = []
+    open_at = -1
+
+    def closed() -> list[tuple[int, int]]:
+        whole_run = [(run[0][0], run[-1][1])] if len(run) > 1 else []
+        return [(a, b) for a, b in whole_run + run if b - a >= MIN_TOKEN]
+
+    for start, end, left, right in _single(text):
+        joins = left == open_at and text[left:start] in ("", "(") and _GROUP.fullmatch(text, start, end)
+        if not joins:
+            yield from closed()
+            run = []
+        run.append((start, end))
+        goes_on = text[end:right] in ("", ")") and text[right : right + 1] == " " and (joins or _FIRST_GROUP.fullmatch(text, start, end))
+        open_at = right + 1 if goes_on else -1
+    yield from closed()
 
 
 def _patterns(text: str, start: int, end: int) -> list[str]:
@@ -162,13 +185,8 @@ def _per_kind(make: object) -> list[Column]:
     return [make(i).alias(f"k{i}") for i in range(len(KINDS))]
 
 
-def confident_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``(pattern, kind, confidence)`` of the patterns that may discover; mentions have ``kind``, ``item``, ``patterns``."""
-    edges = mentions.select("kind", F.xxhash64("item").alias("item"), F.explode("patterns").alias("pattern"))
-    seeded = edges.where("kind >= 0").select("pattern").distinct()
-    # Patterns without a seed can never be trusted, and only they would make the graph large.
-    edges = settle(edges.groupBy("pattern", "item", "kind").count().drop("count"), "edges")
-    edges = settle(edges.join(settle(seeded, "seeded"), "pattern", "left_semi"), "edges")
+def _trusted(edges: DataFrame, rounds: int) -> DataFrame:
+    """``(pattern, kind, confidence)`` of the patterns that may discover, from the edges of patterns with a seed."""
 
     def confidences(scores: DataFrame | None) -> DataFrame:
         # An instance that is a seed anywhere is certain; others have the score of the last round.
@@ -194,11 +212,42 @@ def confident_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return found.where((best >= MIN_CONFIDENCE) & (F.col("seeds") >= MIN_SEEDS)).select("pattern", kind.alias("kind"), best.alias("confidence"))
 
 
+def confident_patterns(mentions: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """``(pattern, kind, confidence)`` of the patterns that may discover; mentions have ``kind``, ``item``, ``patterns``.
+
+    Generations: instances in trusted patterns are seeds of the next one, where the
+    patterns around them may become trusted, until no instance is new. Seeds and trusted
+    patterns stay what they are.
+    """
+    every = mentions.select("kind", F.xxhash64("item").alias("item"), F.explode("patterns").alias("pattern"))
+    every = settle(every.groupBy("pattern", "item", "kind").count().drop("count"), "every")
+    # Patterns without a seed, as yet, cannot be trusted, and only they would make the graph large.
+    seeded = settle(every.where("kind >= 0").select("pattern").distinct(), "seeded")
+    edges = settle(every.join(seeded, "pattern", "left_semi"), "edges")
+    trusted = settle(_trusted(edges, rounds), "trusted")
+    fresh, seeds = trusted, None
+    while True:
+        best = F.max(F.struct("confidence", F.col("kind_").alias("kind")))["kind"].alias("as")
+        new = edges.where("kind < 0").join(fresh.withColumnRenamed("kind", "kind_"), "pattern").groupBy("item").agg(best)
+        new = settle(new if seeds is None else new.join(seeds, "item", "left_anti"), "new")
+        if new.isEmpty():
+            return trusted
+        seeds = new if seeds is None else settle(seeds.unionByName(new), "seeds")
+        induced = every.where("kind < 0").join(new, "item", "left_semi").select("pattern")
+        seeded = settle(seeded.unionByName(induced).distinct(), "seeded")
+        kind = F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("as", F.lit(-1)))
+        edges = every.join(seeded, "pattern", "left_semi")
+        seen = settle(edges.join(seeds, "item", "left").select("pattern", "item", kind.alias("kind")).distinct(), "seen")
+        edges = settle(edges, "edges")
+        fresh = settle(_trusted(seen, rounds).join(trusted.select("pattern"), "pattern", "left_anti"), "fresh")
+        trusted = settle(trusted.unionByName(fresh), "trusted")
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """``(doc_id, spans)`` for every row; a span is ``(kind, start, end, base)``, offsets in code points, end exclusive.
 
     Base spans are the seeds, leftmost and without overlap per kind; the others were
-    discovered by context. Spans come by kind as in ``KINDS``, then by start. NULL and empty
+    discovered by context; a number in groups and a group of it may both be. Spans come by kind as in ``KINDS``, then by start. NULL and empty
     texts have none. Repeated rows are rows of their own, ids may be NULL, an empty table
     gives no rows, and other columns are not looked at.
     """

@@ -40,6 +40,27 @@ def test_contexts_of_seeds_discover_others(docs):
     assert got[101] == [] and all(len(got[i]) == 1 and got[i][0].base for i in range(40))
 
 
+def test_discovered_identifiers_are_seeds_of_the_next_generation(docs):
+    """Numbers found beside seeds lead to contexts that no seed has, and those to further numbers and contexts."""
+    number = lambda k, i: f"0{k}71-47{i:02}-99"
+    rows = [(i, f"text please call me at +1 555 010 {1000 + i} any time soon ok") for i in range(200)]
+    rows += [(300 + i, f"text please call me at {number(1, i)} any time soon ok") for i in range(8)]
+    rows += [(400 + i, f"my own line is {number(1, i)} since last year") for i in range(8)]
+    rows += [(500, f"my own line is {number(2, 0)} since last year"), (600, f"chapter of book {number(3, 0)} has many words")]
+    got = {r.doc_id: [(s.kind, s.base) for s in r.spans] for r in pii.find(docs(rows)).collect()}
+    assert all(got[i] == [("phone", False)] for i in (*range(300, 308), *range(400, 408), 500))
+    assert got[600] == []
+
+
+def test_numbers_in_groups_are_one_candidate(docs):
+    text = "a 0171 4711 99, or (030) 12 34 x 1 2, 3 +49 17 +49 18 a@bc.d 12345 678"
+    assert [text[a:b] for a, b in pii._tokens(text)] == ["0171 4711 99", "030) 12 34", "+49 17", "+49 18", "a@bc.d", "12345 678", "12345"]
+    seeds = [(i, f"text {i} please call me at +1 555 010 {1000 + i} any time soon ok") for i in range(40)]
+    hidden = (100, "text please call me at 0171 4711 99 any time soon ok")
+    spans = {r.doc_id: r.spans for r in pii.find(docs([*seeds, hidden])).collect()}[100]
+    assert [(s.kind, hidden[1][s.start : s.end]) for s in spans] == [("phone", "0171 4711 99")]
+
+
 def test_few_seeds_are_no_evidence(docs):
     rows = [(1, "call me at +1 555 010 1000 any time"), (2, "call me at 0171-4711-99 any time")]
     assert {r.doc_id: len(r.spans) for r in pii.find(docs(rows)).collect()} == {1: 1, 2: 0}
