@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfall.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, personal_data, quality, token_counts, toxicity
+from stepfall.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, personal_data, pieces, quality, token_counts, toxicity
 from stepfall.llm.scratch import shared_folder, ship
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Job] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Job] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op13_piece_bpe": op13_piece_bpe,
 }
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.ORACLE_SQL,

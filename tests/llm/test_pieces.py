@@ -1,0 +1,87 @@
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from conftest import AWKWARD
+
+from stepfall.llm import pieces
+from stepfall.llm.jobs import QUERIES
+
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+PARTS = ["a", "e", "t", "h", "the", "ing", "qu", " ", "  ", "\n", "▁", "é", "漢", "字", "\x00", "🙂", "　", "1", "0", "ﬁ", "x" * 5, " " * 40, " " * 100]
+
+
+def _want(doc, text):
+    ids = LIBRARY.encode(text or "")
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return doc, len(ids), sha(",".join(map(str, ids))), sha(LIBRARY.decode(ids))
+
+
+def _digests(df):
+    return sorted(((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in df.collect()), key=str)
+
+
+def _ids(texts, encode=None):
+    ids, counts = (encode or pieces.Encoder(pieces.MODEL))(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def _random_texts(seed, n=300):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(PARTS[: rng.randint(2, len(PARTS))]) for _ in range(rng.randint(0, 200))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ids_and_text_are_the_library_s(seed):
+    texts = _random_texts(seed)
+    want = LIBRARY.encode(texts)
+    assert _ids(texts) == want
+    assert [pieces.pieces(pieces.MODEL).decode(np.array(x, np.int64)) for x in want] == [LIBRARY.decode(x) for x in want]
+
+
+@pytest.mark.parametrize("long", [1, 1 << 30])
+def test_pair_by_pair_and_by_rounds_agree(monkeypatch, long):
+    monkeypatch.setattr(pieces, "LONG", long)
+    texts = _random_texts(7, 60)
+    assert _ids(texts) == LIBRARY.encode(texts)
+
+
+def test_words_are_forgotten_and_met_again(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE_WORDS", 50)
+    encode, texts = pieces.Encoder(pieces.MODEL), _random_texts(8)
+    for at in range(0, len(texts), 20):
+        assert _ids(texts[at : at + 20], encode) == LIBRARY.encode(texts[at : at + 20])
+
+
+@pytest.mark.parametrize("text", ["a" * 50_000, " " * 50_000, "漢字" * 20_000, "ab" * 20_000 + " " * 33, "abcdefghijklmnop" * 500])
+def test_long_runs(text):
+    assert _ids([text]) == [LIBRARY.encode(text)]
+
+
+def test_any_ids_decode_as_in_the_library():
+    rng, vocabulary = random.Random(9), pieces.pieces(pieces.MODEL)
+    for _ in range(5000):
+        ids = [rng.choice([rng.randint(0, 300), rng.randint(130, 260), rng.randint(0, 31_999)]) for _ in range(rng.randint(0, 12))]
+        assert vocabulary.decode(np.array(ids, np.int64)) == LIBRARY.decode(ids)
+
+
+def test_a_table(spark, docs):
+    rows = list(enumerate([*_random_texts(10, 120), "漢" * 3000, " " * 3000]))
+    assert _digests(pieces.round_trip(docs(rows))) == sorted((_want(*r) for r in rows), key=str)
+    back = pieces.decode(pieces.encode(docs(rows))).collect()
+    assert {r.doc_id: r.decoded for r in back} == {i: LIBRARY.decode(LIBRARY.encode(t)) for i, t in rows}
+
+
+def test_awkward_rows(awkward, nothing, docs):
+    assert _digests(pieces.round_trip(awkward)) == sorted((_want(i, t) for i, t, *_ in AWKWARD), key=str)
+    assert pieces.round_trip(nothing).collect() == [] == pieces.decode(pieces.encode(nothing)).collect()
+    unnamed = [(None, "x y"), (None, "x y"), (None, None), (3, "")]
+    assert _digests(pieces.round_trip(docs(unnamed))) == sorted((_want(*r) for r in unnamed), key=str)
+
+
+def test_the_query(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    assert _digests(QUERIES["op13_piece_bpe"](spark, small)) == sorted((_want(*r) for r in rows), key=str)
