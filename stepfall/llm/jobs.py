@@ -6,9 +6,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stepfall.llm import bpe, chat, exact_dedup, language, mixing, ngram_join, personal_data, pieces, quality, token_counts, toxicity
+from stepfall.llm import alignment, bpe, chat, exact_dedup, language, mixing, ngram_join, periodic, personal_data, pieces, quality, token_counts, toxicity
 from stepfall.llm.scratch import shared_folder, ship
+from stepfall.llm.text import words
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -59,6 +61,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In a tenth of the documents, chosen by a hash of the id, a stretch is first made to repeat up to the end."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("hash"))
+    chosen = documents.withColumn("words", F.when(F.col("hash") % 10 == 0, words("text")))
+    repeated = periodic.with_repeated_tail(F.col("words"), F.floor(F.col("hash") / 10))
+    text = F.when(F.size("words") > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))
+    return periodic.collapsed(chosen.select("doc_id", text.alias("text")))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measures(_table(spark, sf_dir, "documents"))
+
+
 def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +89,8 @@ QUERIES: dict[str, Job] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_piece_bpe": op13_piece_bpe,
 }
 ORACLES: dict[str, str] = {
