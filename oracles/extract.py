@@ -100,4 +100,6 @@ EXTRACT: dict[str, str] = {
     "seg_rides_paid": _per_cell(_PAYMENTS, "total_rides_with_payment"),
     "seg_rides_reviewed": _per_cell(_REVIEWS, "total_rides_with_review"),
     "funnel_extract": _extract(),
+    "funnel_extract_by_days": _extract(),
+    "funnel_extract_read_back": _extract(),
 }

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-from stepfall.plans import extract, funnels, profile
+from stepfall.plans import extract, funnels, profile, refresh
+from stepfall.sources.sinks import replace_extract, scratch_folder
 from stepfall.sources.tables import SCHEMAS, TableSet
 
 Job = Callable[[TableSet], DataFrame]
@@ -16,6 +17,21 @@ def _preview(table: str, ordered: bool = False) -> Job:
     return lambda t: profile.table_preview(getattr(t, table), ordered=ordered)
 
 
+def funnel_extract_by_days(t: TableSet) -> DataFrame:
+    """The extract of a state that took the rows in batches."""
+    spark = t.signups.sparkSession
+    return refresh.absorbed_by_day(t, spark, scratch_folder(spark))
+
+
+def funnel_extract_read_back(t: TableSet) -> DataFrame:
+    """The extract as handed over: written by steps, its steps replaced, and read from the files."""
+    job = extract.funnel_extract(t)
+    path = scratch_folder(t.signups.sparkSession)
+    replace_extract(job.where("funnel_step > 1"), path, partition_by=["funnel_step"])
+    replace_extract(job.where("funnel_step < 4"), path, partition_by=["funnel_step"])
+    return job.sparkSession.read.schema(job.schema).parquet(path).select(*job.columns)
+
+
 _PROFILE: tuple[Job, ...] = (
     profile.table_profile,
     profile.dropoff_date_range,
@@ -62,6 +78,8 @@ _EXTRACT: tuple[Job, ...] = (
     extract.funnel_extract,
     extract.cell_funnel_pct_previous,
     extract.cell_funnel_pct_top,
+    funnel_extract_by_days,
+    funnel_extract_read_back,
 )
 
 JOBS_BY_NAME: dict[str, Job] = {

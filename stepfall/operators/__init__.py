@@ -8,6 +8,7 @@ from stepfall.operators.activity import (
 )
 from stepfall.operators.grain import CELL, attribute, ever_flags, user_cells
 from stepfall.operators.metrics import pct_of_previous, pct_of_top, segment_share
+from stepfall.operators.skew import hot_keys, split_join
 from stepfall.operators.steps import Step, step_rows, step_table
 
 __all__ = [
@@ -15,6 +16,7 @@ __all__ = [
     "Step",
     "attribute",
     "ever_flags",
+    "hot_keys",
     "payments_per_user",
     "pct_of_previous",
     "pct_of_top",
@@ -23,6 +25,7 @@ __all__ = [
     "ride_reach",
     "rides_per_user",
     "segment_share",
+    "split_join",
     "stack_facts",
     "step_rows",
     "step_table",

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepfall.operators.skew import LEAST, split_join
+
 # Fixed value: the status of a payment that counts.
 APPROVED = "Approved"
 MARKS = ("requests", "accepted", "completed", "payments", "reviews")
@@ -34,15 +36,20 @@ def rides_per_user(rides: DataFrame) -> DataFrame:
     )
 
 
-def payments_per_user(transactions: DataFrame, rides: DataFrame) -> DataFrame:
+def payments_per_ride(transactions: DataFrame) -> DataFrame:
+    return approved(transactions).groupBy("ride_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def payments_per_user(transactions: DataFrame, rides: DataFrame, least: int = LEAST) -> DataFrame:
     """Approved payments by the ride's ``user_id``; those no ride matches go under NULL.
 
     Payments are counted per ride before the join: the preserved side then holds
-    one row per ride id, however often a ride (or no ride at all) was charged.
+    one row per ride id, however often a ride (or no ride at all) was charged. A ride id that
+    holds a large part of at least ``least`` rides is dealt to many tasks.
     """
-    per_ride = approved(transactions).groupBy("ride_id").agg(F.count(F.lit(1)).alias("n"))
     riders = rides.select("ride_id", "user_id")
-    return per_ride.join(riders, "ride_id", "left").groupBy("user_id").agg(F.sum("n").alias("payments"))
+    matched = split_join(riders, payments_per_ride(transactions), "ride_id", keep="few", least=least)
+    return matched.groupBy("user_id").agg(F.sum("n").alias("payments"))
 
 
 def reviews_per_user(reviews: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from stepfall.operators import (
     user_cells,
 )
 from stepfall.operators.activity import MARKS
-from stepfall.operators.grain import download_counts
+from stepfall.operators.grain import download_counts, homes, people, placed
 from stepfall.plans.funnels import step
 from stepfall.sources.tables import TableSet
 
@@ -51,31 +51,35 @@ def _rows(mark: str) -> Column:
     return F.sum(F.col(mark) * F.col("copies")).alias(f"{mark}_rows")
 
 
-def cells(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
+def marks_per_cell(users: DataFrame) -> DataFrame:
     """Per cell and mark: how many users have it, and how many fact rows carry it.
 
     Each mark comes from one fact, where a user has one row, so rows with the
     mark are users with the mark.
     """
-    users = users_with_cell(t, *facts)
     present = [m for m in MARKS if m in users.columns]
     return users.groupBy(*CELL).agg(*[_users(m) for m in present], *[_rows(m) for m in present])
 
 
+def cells(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
+    return marks_per_cell(users_with_cell(t, *facts))
+
+
 # --- users per cell -------------------------------------------------------
 
 
 def _download_counts(t: TableSet) -> DataFrame:
-    return download_counts(t.app_downloads, t.signups)
+    where = homes(t.app_downloads)
+    return download_counts(placed(people(t.signups), where), where)
+
+
+def signup_counts(cells: DataFrame) -> DataFrame:
+    """A user has one row per cell, so counting them counts distinct users."""
+    return cells.groupBy(*CELL).agg(F.count("user_id").alias("users"), F.sum("copies").alias("rows"))
 
 
 def _signup_counts(t: TableSet) -> DataFrame:
-    """``user_cells`` has one row per user and cell, so counting them counts distinct users."""
-    return (
-        user_cells(t.signups, t.app_downloads)
-        .groupBy(*CELL)
-        .agg(F.count("user_id").alias("users"), F.sum("copies").alias("rows"))
-    )
+    return signup_counts(user_cells(t.signups, t.app_downloads))
 
 
 def seg_app_download(t: TableSet) -> DataFrame:
@@ -141,7 +145,7 @@ def seg_rides_reviewed(t: TableSet) -> DataFrame:
 # --- step tables ----------------------------------------------------------
 
 
-def _cell_steps(t: TableSet) -> DataFrame:
+def cell_steps(downloads: DataFrame, signups: DataFrame, marks: DataFrame) -> DataFrame:
     """Every step of every cell with its user count and its ride count.
 
     All facts are counted per user first, attributed in one join and counted per
@@ -160,10 +164,10 @@ def _cell_steps(t: TableSet) -> DataFrame:
 
     return step_table(
         [
-            (_download_counts(t), first(1)),
-            (_signup_counts(t), first(2)),
+            (downloads, first(1)),
+            (signups, first(2)),
             (
-                cells(t, _rides, _payments, _reviews),
+                marks,
                 [
                     later(3, "requests", asked),
                     later(4, "accepted", asked),
@@ -178,6 +182,10 @@ def _cell_steps(t: TableSet) -> DataFrame:
     ).where("exists")
 
 
+def _cell_steps(t: TableSet) -> DataFrame:
+    return cell_steps(_download_counts(t), _signup_counts(t), cells(t, _rides, _payments, _reviews))
+
+
 def seg_user_steps(t: TableSet) -> DataFrame:
     return _cell_steps(t).select("funnel_step", "funnel_name", "user_count", *CELL)
 
@@ -192,8 +200,8 @@ def cell_funnel_pct_top(t: TableSet) -> DataFrame:
     return pct_of_top(seg_user_steps(t), "user_count", by=CELL)
 
 
-def funnel_extract(t: TableSet) -> DataFrame:
-    """The dashboard extract.
+def dashboard(steps: DataFrame) -> DataFrame:
+    """The dashboard extract of ``cell_steps``.
 
     ``ride_count`` is NULL, not 0, where the step has no ride rows in the cell,
     and NULL for cells without platform or date, which no lookup by equality finds.
@@ -201,8 +209,10 @@ def funnel_extract(t: TableSet) -> DataFrame:
     found = F.col("platform").isNotNull() & F.col("download_dt").isNotNull()
     ride_count = F.when(found, F.nullif(F.col("ride_rows"), F.lit(0)))
     order = ("funnel_step", *CELL)
-    return (
-        _cell_steps(t)
-        .select("funnel_step", "funnel_name", *CELL, "user_count", ride_count.alias("ride_count"))
-        .orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    return steps.select("funnel_step", "funnel_name", *CELL, "user_count", ride_count.alias("ride_count")).orderBy(
+        *[F.col(c).asc_nulls_last() for c in order]
     )
+
+
+def funnel_extract(t: TableSet) -> DataFrame:
+    return dashboard(_cell_steps(t))

@@ -98,7 +98,7 @@ def _key_kind(kind: T.DataType) -> str:
     return "integer" if isinstance(kind, T.IntegralType) else kind.simpleString()
 
 
-def _declared(name: str, key_type: str) -> T.StructType:
+def declared(name: str, key_type: str) -> T.StructType:
     kind = T.StructType.fromDDL(f"key {key_type}")[0].dataType
     return T.StructType([T.StructField(f.name, kind if f.name in KEYS else f.dataType) for f in SCHEMAS[name]])
 
@@ -134,7 +134,7 @@ def read_files(
     by_name = fmt == "csv" and settings["header"].lower() == "true"
 
     def read(name: str) -> DataFrame:
-        reader, schema = spark.read.format(fmt).options(**settings), _declared(name, key_type)
+        reader, schema = spark.read.format(fmt).options(**settings), declared(name, key_type)
         path = f"{root.rstrip('/')}/{name}"
         if not by_name:
             return (reader.schema(schema) if strict else reader).load(path)

@@ -1,0 +1,107 @@
+"""Results that replace others: whole, or not at all."""
+
+import pytest
+from builders import random_rows, stored_tables
+from checks import spark_result
+from pyspark.sql import functions as F
+
+from stepfall.plans import extract
+from stepfall.sources import replace_extract, settle_extract, write_extract
+from stepfall.sources.sinks import ASIDE, KEPT, STAGED, _Folder
+
+
+def _rows(spark, *rows):
+    return spark.createDataFrame(list(rows), "step int, platform string, n long")
+
+
+def _read(spark, path):
+    return sorted(((r.step, r.platform, r.n) for r in spark.read.parquet(path).select("step", "platform", "n").collect()), key=str)
+
+
+OLD = [(1, "ios", 1), (1, "web", 2), (2, "ios", 3), (2, None, 4)]
+
+
+@pytest.fixture(params=[(), ("step",), ("step", "platform")])
+def stored(request, spark, tmp_path):
+    path = str(tmp_path / "out")
+    replace_extract(_rows(spark, *OLD), path, partition_by=request.param)
+    return path, request.param
+
+
+def test_touched_partitions_are_replaced(spark, stored):
+    path, keys = stored
+    replaced = replace_extract(_rows(spark, (2, "ios", 30), (3, "web", 5)), path, partition_by=keys)
+    want = {
+        (): [(2, "ios", 30), (3, "web", 5)],
+        ("step",): [(1, "ios", 1), (1, "web", 2), (2, "ios", 30), (3, "web", 5)],
+        ("step", "platform"): [(1, "ios", 1), (1, "web", 2), (2, None, 4), (2, "ios", 30), (3, "web", 5)],
+    }[keys]
+    assert _read(spark, path) == sorted(want, key=str)
+    assert len(replaced) == (2 if keys else 0)
+    assert not [n for n, _ in _Folder(spark, path).names() if n.startswith((STAGED, KEPT))]
+
+
+def test_a_broken_write_leaves_the_old_result(spark, stored):
+    path, keys = stored
+    broken = _rows(spark, (1, "ios", 9), (2, "web", 8)).withColumn(
+        "n", F.when(F.col("n") > 8, F.raise_error(F.lit("broken"))).otherwise(F.col("n")).cast("long")
+    )
+    with pytest.raises(Exception, match="broken"):
+        replace_extract(broken, path, partition_by=keys)
+    assert _read(spark, path) == sorted(OLD, key=str)
+    settle_extract(spark, path)
+    assert _read(spark, path) == sorted(OLD, key=str)
+
+
+class Died(Exception):
+    pass
+
+
+@pytest.mark.parametrize("renames", range(7))
+def test_death_between_renames_leaves_the_old_or_the_new_result(spark, stored, monkeypatch, renames):
+    path, keys = stored
+    move, done = _Folder.move, []
+
+    def dying(self, old, new):
+        if len(done) == renames:
+            raise Died
+        done.append(old)
+        move(self, old, new)
+
+    new = [(1, "ios", 10), (2, "ios", 30), (5, "web", 50)]
+    monkeypatch.setattr(_Folder, "move", dying)
+    try:
+        replace_extract(_rows(spark, *new), path, partition_by=keys)
+    except Died:
+        pass
+    monkeypatch.undo()
+    settle_extract(spark, path)
+    at = {(): lambda r: 0, ("step",): lambda r: r[0], ("step", "platform"): lambda r: r[:2]}[keys]
+    touched = {at(r) for r in new}
+    whole = sorted([r for r in OLD if at(r) not in touched] + new, key=str)
+    got = _read(spark, path)
+    aside = len([r for r in {at(r) for r in OLD} if r in touched])
+    assert got in (whole, sorted(OLD, key=str))
+    if keys:
+        assert got == (sorted(OLD, key=str) if renames < aside else whole)
+    assert not [n for n, _ in _Folder(spark, path).names() if n.startswith((STAGED, KEPT)) or n == ASIDE]
+
+
+def test_settling_what_is_not_there(spark, tmp_path):
+    settle_extract(spark, str(tmp_path / "none"))
+
+
+def test_extract_and_csv(spark, tmp_path):
+    """The extract by steps, replaced by itself, reads back alike."""
+    t = stored_tables(spark, tmp_path / "in", random_rows(5))
+    path = str(tmp_path / "out")
+    job = extract.funnel_extract(t)
+    for _ in range(2):
+        replace_extract(job, path, partition_by=["funnel_step"])
+    got = spark.read.schema(job.schema).parquet(path).select(*job.columns)
+    assert spark_result(got) == spark_result(job)
+    for rows in (OLD, OLD[:1]):
+        replace_extract(_rows(spark, *rows), str(tmp_path / "csv"), fmt="csv")
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 1
+    write_extract(_rows(spark, *OLD), str(tmp_path / "csv"), fmt="csv", mode="append")
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 5

@@ -5,7 +5,8 @@ from builders import random_rows, stored_tables
 from checks import settings
 from pyspark.sql import functions as F
 
-from stepfall.operators.grain import placed, user_cells
+from stepfall.operators import payments_per_user, split_join
+from stepfall.operators.grain import cells_of, download_counts, homes, people, placed, user_cells
 from stepfall.plans import extract, funnels
 from stepfall.sources import SCHEMAS, FunnelTables
 from stepfall.sources.star import StarTables
@@ -153,7 +154,7 @@ def test_a_key_repeated_on_both_sides_makes_no_pairs(spark):
         plan = cells._jdf.queryExecution().executedPlan().toString()
         join = plan.index("SortMergeJoin")
         assert "partial_count" in plan[join:], "downloads are grouped below the join"
-        assert placed(signups, downloads).count() == n
+        assert placed(people(signups), homes(downloads)).count() == n
         got = cells.agg(F.count("*"), F.min("copies"), F.max("copies")).first()
     assert tuple(got) == (n, n, n)
 
@@ -166,7 +167,8 @@ def test_user_tables_move_once_in_the_extract(spark, tmp_path):
     for column in ("app_download_key", "age_range"):
         assert sum(f"{column}#" in line for line in scans) == 1, column
     moves = [line for line in lines if line.startswith("Exchange hashpartitioning(")]
-    assert len(moves) <= 13
+    # Two reduced tables move once more to meet the pieces of hot keys, and the counted downloads once after their join.
+    assert len(moves) <= 15
     # Signups by their key, and downloads by theirs after grouping.
     assert sum(line.startswith("Exchange hashpartitioning(session_id") and "platform" not in line.split(", ")[1] for line in moves) <= 2
 
@@ -181,8 +183,90 @@ def test_user_cells_are_computed_once(spark, tmp_path):
         assert any("hashpartitioning(user_id" in line and "download_dt" in line for line in reused)
 
 
-def test_no_broadcast_without_a_size_check(spark, skewed):
-    """With the size limit off, nothing is broadcast: the code holds no hint and no cross join."""
+def test_only_hot_keys_are_broadcast(spark, skewed):
+    """With the size limit off, what is broadcast is a list of 64 keys at most; there is no cross join."""
     with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         plan = extract.funnel_extract(skewed)._jdf.queryExecution().executedPlan().toString()
-    assert "Broadcast" not in plan and "Cartesian" not in plan
+    lines = [line.strip(" :+-") for line in plan.splitlines()]
+    sent = [lines[i + 1 : i + 4] for i, line in enumerate(lines) if line.startswith("BroadcastExchange")]
+    assert sent and all(any(line.startswith("GlobalLimit 64") for line in below) for below in sent)
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def pairs(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def largest_share(df):
+    """The part of a joined frame's rows that one task holds: a row stays in the task that joined it."""
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    return max(sizes) / sum(sizes)
+
+
+#: Joins sort and merge in as many tasks as stated, and adaptive execution neither merges nor splits them.
+PLAIN = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.enabled": "false",
+    "spark.sql.shuffle.partitions": "16",
+}
+
+
+@pytest.mark.parametrize("keep", ["many", "few"])
+@pytest.mark.parametrize("least", [1, 10**9])
+def test_split_join_is_a_left_join(spark, keep, least):
+    ids = spark.range(0, 6000, 1, 4)
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 50).when(F.col("id") % 5 > 0, F.col("id"))
+    many = ids.select(key.cast("bigint").alias("k"), (F.col("id") % 10).alias("v"))
+    few = spark.range(0, 9000, 2).select(F.when(F.col("id") != 8, F.col("id")).alias("k"), F.col("id").alias("w"))
+    few = few.unionByName(spark.createDataFrame([(7, -1), (7, -2), (None, -3)], "k long, w long"))
+    got = split_join(many, few, "k", keep=keep, least=least)
+    want = many.join(few, "k", "left") if keep == "many" else few.join(many, "k", "left")
+    assert pairs(got, "k", "v", "w") == pairs(want, "k", "v", "w")
+    for none in (many.where("false"), few.where("false")):
+        other = (none, few) if none.columns == many.columns else (many, none)
+        kept = other[0] if keep == "many" else other[1]
+        assert split_join(*other, "k", keep=keep, least=least).count() == kept.count()
+
+
+def test_hot_session_is_dealt_to_many_tasks(spark, skewed):
+    """Without any help of adaptive execution. A third of the signups come from one session."""
+    where = homes(skewed.app_downloads)
+    with settings(spark, PLAIN):
+        plain, split = (placed(people(skewed.signups), where, least=n) for n in (10**9, 1000))
+        assert largest_share(plain) > 0.33 and largest_share(split) < 0.12
+        assert pairs(cells_of(plain), "user_id", "platform", "copies") == pairs(cells_of(split), "user_id", "platform", "copies")
+
+
+def test_hot_session_has_few_rows_when_downloads_are_counted(spark, skewed):
+    """The join's rows are reduced in its tasks, so that no task reads the session's signups together."""
+    where = homes(skewed.app_downloads)
+    with settings(spark, PLAIN):
+        counts = download_counts(placed(people(skewed.signups), where, least=1000), where)
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        lines = [line.strip(" :+-") for line in plan.splitlines()]
+        above = [i for i, line in enumerate(lines) if line.startswith("Exchange hashpartitioning(session_id") and "partial_collect_set" in lines[i + 1]]
+        assert above and any("SortMergeJoin" in line for line in lines[above[0] :])
+        got = counts.agg(F.sum("users"), F.sum("rows")).first()
+    # Every key once; the rows of keys by the ages of their signups, one each here.
+    assert tuple(got) == (N, N)
+
+
+def test_ride_repeated_on_both_sides(spark):
+    """A third of rides and of payments have one ride id: counts multiply, and no task joins more than its share."""
+    ids = spark.range(0, N, 1, 8)
+    moment = F.lit("2021-05-01 10:00:00").cast("timestamp_ntz")
+    rides = ids.select(hot(F.col("id"), 5).alias("ride_id"), F.col("id").alias("user_id"), moment.alias("request_ts"))
+    paid = ids.select(hot(F.col("id") + 60_000, 5).alias("ride_id"), F.lit(2.0).alias("purchase_amount_usd"), F.lit("Approved").alias("charge_status"))
+    with settings(spark, PLAIN):
+        for least in (1000, 10**9):
+            users = payments_per_user(paid, rides, least=least)
+            by_user = {r["user_id"]: r["payments"] for r in users.where("user_id IS NULL OR user_id IN (0, 3, 5, 60001, 119999)").collect()}
+            # Of users 0 and 3 the ride is the hot one; payments beyond the last ride are under NULL.
+            assert by_user == {0: N // 3, 3: N // 3, 5: N // 3, 60_001: 1, 119_999: 1, None: 40_000}
+            total = users.agg(F.sum("payments")).first()[0]
+            assert total == 40_000 * 40_000 + 40_000 + 40_000 + N // 3
+        riders = rides.select("ride_id", "user_id")
+        counted = paid.groupBy("ride_id").count()
+        assert largest_share(split_join(riders, counted, "ride_id", keep="few", least=10**9)) > 0.25
+        assert largest_share(split_join(riders, counted, "ride_id", keep="few", least=1000)) < 0.12
