@@ -9,6 +9,10 @@ from stepfall.llm import toxicity
 from stepfall.llm.toxicity import Model
 
 
+#: What half of the labels at sf0.1 teach about the other half, at less than 1 % false alarms.
+RECALL = 0.88
+
+
 @pytest.fixture(scope="module")
 def graded(spark):
     """Two words that make a text toxic, one of them in texts of low quality."""
@@ -69,6 +73,40 @@ def test_slopes_of_the_likelihood():
         assert by_cut[k] == pytest.approx((value(score, cuts + step) - value(score, cuts - step)) / 2e-6, abs=1e-5)
 
 
+def test_fit_is_the_best_there_is():
+    """No step along any parameter makes labels and decay together more likely."""
+    rng = np.random.default_rng(5)
+    features = [np.sort(rng.choice(6, rng.integers(0, 4), replace=False)).astype(np.int64) for _ in range(200)]
+    pull = np.array([2.0, 1.0, 0.0, -1.0, 0.5, 3.0])
+    scores = np.array([pull[f].sum() for f in features]) + rng.logistic(size=200)
+    grades, times = np.digitize(scores, [1.0, 3.0]), rng.integers(1, 4, 200).astype(float)
+    used, weights, cuts = toxicity._ascent(features, grades, times, np.array([0.5, 1.5]), 3000)
+
+    def value(w, c):
+        score = np.array([w[np.searchsorted(used, f)].sum() / max(1, len(f)) ** 0.5 for f in features])
+        above = 1 / (1 + np.exp(c - score[:, None]))
+        edges = np.hstack([np.ones((200, 1)), above, np.zeros((200, 1))])
+        chance = edges[np.arange(200), grades] - edges[np.arange(200), grades + 1]
+        return (times * np.log(chance)).sum() - toxicity.DECAY / 2 * (w**2).sum()
+
+    best = value(weights, cuts)
+    for i in range(len(weights) + len(cuts)):
+        for step in (-0.05, 0.05, -0.5, 0.5):
+            w, c = weights.copy(), cuts.copy()
+            (w if i < len(w) else c)[i if i < len(w) else i - len(w)] += step
+            if c[0] < c[1]:
+                assert value(w, c) < best
+
+
+def test_rare_grades_are_sampled_in_full(graded):
+    assert toxicity._quotas({0: 1000, 1: 10, 2: 50}, 160) == {1: 1.0, 2: 1.0, 0: 0.1}
+    assert toxicity._quotas({}, 10) == {} and toxicity._quotas({2: 4}, 10) == {2: 1.0}
+    docs, labels = graded
+    sampled = toxicity.sample(docs.select("doc_id", "text"), labels, 320).groupBy("grade").count().collect()
+    counts = {r["grade"]: r["count"] for r in sampled}
+    assert counts[1] == counts[2] == 100 and 60 < counts[0] < 190
+
+
 def test_words_of_long_texts_are_all_found():
     text = "x" * (toxicity._LINES - 3) + " abcdefgh " + "word " * 30_000 + "last"
     want = set(np.concatenate([toxicity.buckets(w) for w in ("x" * (toxicity._LINES - 3), "abcdefgh", "word", "last")]).tolist())
@@ -82,7 +120,7 @@ def test_labelled_documents_of_the_test_data(spark):
         F.sum((F.col("found") & (F.col("toxic") == 1)).cast("int")), F.sum((F.col("found") & (F.col("toxic") == 0)).cast("int")),
         F.sum("toxic"), F.sum(1 - F.col("toxic")),
     ).first()
-    assert hits / toxic > 0.55 and false / clean < 0.01
+    assert hits / toxic > RECALL and false / clean < 0.01
 
 
 def test_awkward_rows(spark, awkward, nothing):
