@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfall.llm.scratch import settle
-from stepfall.llm.text import SPACES, WORD, word_count
+from stepfall.llm.text import SPACES, WORD, whole, word_count
 
 #: Weights by rank of the source (code point order, NULL last), repeated.
 WEIGHTS = (1, 2, 3)
@@ -22,6 +22,8 @@ WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 #: Documents meant to be in one part of a source.
 PART_ROWS = 4096
+#: Copies of one row at a cut that one task writes.
+COPIES = 4096
 SEED = "mix"
 
 
@@ -52,8 +54,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     return levelled.select("source", "n", "source_size", target.alias("target"))
 
 
-def _key(id_col: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def _key(id_col: str, text_col: str) -> Column:
+    """Random by id and text, so that rows without an id, or with one that repeats, spread like others."""
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{SEED}:"), name, F.lit(":"), F.md5(whole(text_col))))
 
 
 def _in_order(
@@ -65,17 +69,19 @@ def _in_order(
     max_epochs: int = MAX_EPOCHS,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Rows without text, with their source's ``epochs`` and the words ``left`` of its last epoch when they are reached."""
-    sized = settle(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(text_col).alias("size"),
-            _key(id_col).alias("key"),
-        ),
-        "sizes",
+    """Rows without text, with their source's ``epochs`` and the words ``left`` of its last epoch when they are reached.
+
+    Rows of one source, id and text that one task reads are one row here, with their number as ``copies``.
+    """
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        word_count(text_col).alias("size"),
+        _key(id_col, text_col).alias("key"),
+        F.spark_partition_id().alias("task"),
     )
-    totals = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
+    sized = settle(rows.groupBy("source", "key", "doc_id", "size", "task").agg(F.count(F.lit(1)).alias("copies")), "sizes")
+    totals = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     budgets = (
         targets(totals, weights, max_epochs)
         .withColumn("budget", F.round("target").cast("long"))
@@ -88,8 +94,9 @@ def _in_order(
     parted = sized.join(budgets, F.col("source").eqNullSafe(F.col("source_"))).withColumn(
         "part", F.floor(place * F.col("parts") / F.lit(1 << 32)).cast("long")
     )
-    parted = settle(parted.select("doc_id", "source", "size", "key", "part", "source_size", "target", "epochs", "rest"), "parts")
-    sums = parted.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    parted = settle(parted.select("doc_id", "source", "size", "copies", "task", "key", "part", "source_size", "target", "epochs", "rest"), "parts")
+    words = F.col("size") * F.col("copies")
+    sums = parted.groupBy("source", "part").agg(F.sum(words).alias("part_size"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = settle(
         sums.select(
@@ -99,26 +106,27 @@ def _in_order(
         ),
         "offsets",
     )
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = parted.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "task").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = parted.withColumn("inside", F.coalesce(F.sum(words).over(inside), F.lit(0)))
     placed = ranked.join(offsets, F.col("source").eqNullSafe(F.col("source_")) & (F.col("part") == F.col("part_")))
     left = F.greatest(F.lit(0), F.col("rest") - F.col("offset") - F.col("inside"))
-    return placed.select("doc_id", "source", "key", "size", "source_size", "target", "epochs", left.cast("long").alias("left"))
+    return placed.select("doc_id", "source", "key", "size", "copies", "source_size", "target", "epochs", left.cast("long").alias("left"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` for every row; ``taken`` counts repeats.
 
     Sources without a name are one source, last in order. NULL and empty texts
-    have size 0 and nothing taken. Rows that repeat an id stand side by side in the
-    order and are taken as rows of their own. An empty table gives no rows; other
+    have size 0 and nothing taken. Rows that repeat, or have no id, are taken as rows
+    of their own. An empty table gives no rows; other
     columns are not looked at. The same rows always give the same mix. ``options``:
     ``weights``, ``max_epochs``, ``part_rows``.
     """
-    taken = F.col("epochs") * F.col("size") + F.least("size", "left")
-    return _in_order(docs, id_col, text_col, source_col, **options).select(
-        "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken")
-    )
+    order = _in_order(docs, id_col, text_col, source_col, **options)
+    copy = order.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("copy") * F.col("size")))
+    taken = F.col("epochs") * F.col("size") + rest
+    return copy.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed_documents(
@@ -127,29 +135,42 @@ def mixed_documents(
     """The mix itself: each document as often as it is taken, the last time cut to the words taken.
 
     A source's cut is one place in its order, so documents are told by their key and
-    texts do not move. Ids should be unique: of rows that repeat the id at which a
-    source is cut, each is cut.
+    texts do not move. Where several rows of one id and text stand at the cut, as many of them
+    are taken as the budget asks for; if other columns differ, those of the least row. Rows
+    without words are never taken; an empty table gives no rows.
     """
     order = _in_order(docs, id_col, text_col, source_col, **options)
-    last = F.max(F.when(F.col("left") > 0, F.struct("key", "doc_id", F.least("size", "left").alias("words")))).alias("_sf_cut")
+    last = F.max(F.when(F.col("left") > 0, F.struct("key", "left"))).alias("_sf_cut")
     cuts = order.groupBy(F.col("source").alias("_sf_source")).agg(F.first("epochs").alias("_sf_epochs"), last)
     cuts = settle(cuts, "cuts")
-    joined = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("_sf_source"))).withColumn("_sf_size", word_count(text_col))
-    here = F.struct(_key(id_col).alias("key"), F.col(id_col).alias("doc_id"))
-    cut = F.struct(F.col("_sf_cut.key").alias("key"), F.col("_sf_cut.doc_id").alias("doc_id"))
-    rest = F.when(F.col("_sf_cut").isNull() | (here > cut), 0).when(here == cut, F.col("_sf_cut.words")).otherwise(F.col("_sf_size"))
-    repeats = F.array_repeat("_sf_size", F.col("_sf_epochs").cast("int"))
-    wanted = joined.withColumn("_sf_words", F.explode(F.concat(repeats, F.array(rest.cast("long"))))).where("_sf_words > 0")
+    keyed = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("_sf_source"))).withColumn("_sf_key", _key(id_col, text_col))
+    rest = F.when(F.col("_sf_key") < F.col("_sf_cut.key"), 1).otherwise(0)
+    times = (F.col("_sf_epochs") + rest).cast("int")
+    some = keyed.where((times > 0) & F.col(text_col).rlike(WORD))
+    taken = some.withColumn("_sf_time", F.explode(F.array_repeat(F.lit(0), times))).select(*docs.columns)
+    # At the cut: what is left for a row and those equal to it, as whole texts and the beginning of one more.
+    there = keyed.where(F.col("_sf_key") == F.col("_sf_cut.key")).withColumn("_sf_size", word_count(text_col)).where("_sf_size > 0")
+    least = F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_sf_row")
+    one = there.groupBy("_sf_source", "_sf_size", "_sf_cut.left").agg(least, F.count(F.lit(1)).alias("copies"))
+    one = one.withColumn("words", F.least(F.col("copies") * F.col("_sf_size"), "left"))
+    # Copies are told apart in blocks, so that many of them do not come out of one task.
+    blocks = one.withColumn("_sf_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / F.col("_sf_size") / COPIES))))
+    blocks = blocks.repartition("_sf_source", "_sf_block")
+    first = F.col("_sf_block") * COPIES * F.col("_sf_size")
+    here = F.least(F.col("words") - first, COPIES * F.col("_sf_size"))
+    starts = F.sequence(F.lit(0).cast("long"), here - 1, F.col("_sf_size"))
+    cut = blocks.select("_sf_row", "_sf_size", here.alias("here"), F.explode(starts).alias("start"))
+    cut = cut.select("_sf_row.*", "_sf_size", F.least(F.col("here") - F.col("start"), "_sf_size").alias("_sf_words"))
     parts = F.regexp_extract_all(F.col(text_col), F.lit(f"(?:{SPACES})?{WORD}"), F.lit(0))
     short = F.array_join(F.slice(parts, F.lit(1), F.col("_sf_words").cast("int")), "")
     text = F.when(F.col("_sf_words") >= F.col("_sf_size"), F.col(text_col)).otherwise(short)
-    return wanted.withColumn(text_col, text).select(*docs.columns)
+    return taken.unionByName(cut.withColumn(text_col, text).select(*docs.columns))
 
 
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS key
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source

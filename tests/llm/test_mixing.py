@@ -1,11 +1,12 @@
 import random
 
 import brute
+import duckdb
 import pytest
 from conftest import AWKWARD
 from pyspark.sql import functions as F
 
-from stepfall.llm.mixing import mix, mixed_documents, targets
+from stepfall.llm.mixing import ORACLE_SQL, mix, mixed_documents, targets
 from stepfall.llm.text import word_count
 
 
@@ -76,3 +77,35 @@ def test_empty_table_and_no_words(docs, nothing):
     assert mix(nothing).collect() == [] and mixed_documents(nothing).collect() == []
     only = docs([(1, ""), (2, None)])
     assert [r.taken for r in mix(only).collect()] == [0, 0] and mixed_documents(only).collect() == []
+
+
+def _broken_ids(seed, n=200):
+    """Ids that are NULL or repeat, some with the same text, some with another."""
+    rng = random.Random(seed)
+    return [(rng.choice([None, None, 1, 2, *range(3, 40)]), " ".join(["w"] * rng.choice([0, 1, 3, 3, 7, 20])), "en", rng.choice(["a", "a", "b", None])) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_budgets_of_null_and_repeated_ids(docs, seed):
+    rows = _broken_ids(seed)
+    sizes, taken, words = {}, {}, {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(brute.words(text))
+    want = {s: round(t) for s, t in brute.targets(sizes).items()}
+    for r in mix(docs(rows)).collect():
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    for r in mixed_documents(docs(rows)).collect():
+        words[r.source] = words.get(r.source, 0) + len(brute.words(r.text))
+    assert taken == want == words
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_check_sql_with_null_and_repeated_ids(docs, seed):
+    rows = _broken_ids(seed)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({ORACLE_SQL})").fetchall()
+    got = [(r.doc_id, r.size, r.source_size, r.target, r.taken) for r in mix(docs(rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
