@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfall.llm.scratch import rows_with
+from stepfall.llm.scratch import rows_with, settle
 from stepfall.llm.text import WORD, whole
 
 # Tokenizers by version, as patterns of one token.
@@ -59,7 +59,8 @@ class TokenLedger:
         """What each inserted or revised document counts, a row for each tokenizer."""
         text = whole("text")
         counts = F.array(*[F.struct(F.lit(v).alias("tokenizer"), tokens(text, p).alias("tokens")) for v, p in self.tokenizers.items()])
-        rows = events.where(F.col("op") != DELETE).select("doc_id", "source", "lang", F.explode(counts).alias("c"))
+        known = (F.col("op") == INSERT) | (F.col("op") == REVISE) & F.col("doc_id").isNotNull()
+        rows = events.where(known).select("doc_id", "source", "lang", F.explode(counts).alias("c"))
         return rows.select("doc_id", *KEYS[:2], "c.tokenizer", "c.tokens", F.lit(1).cast("long").alias("docs"))
 
     def commit(self, batch: str, events: DataFrame) -> bool:
@@ -67,8 +68,10 @@ class TokenLedger:
 
         A document's last state is what the ledger sums to; deletes and revisions take
         it back, whichever tokenizers, source or language it was counted under. Deleting
-        or revising an unknown id takes back nothing. Events without an id can only
-        insert. A batch names an id once; NULL texts count no tokens.
+        an unknown id takes back nothing, and revising one inserts it. Rows that share an id count as
+        rows of their own; a delete or a revision takes back all of them, so a revising
+        batch sends every row that the id has from then on. Events without an id can
+        only insert: other ones find nothing and are left out. NULL texts count no tokens.
         """
         if self.is_committed(batch):
             return False
@@ -101,8 +104,8 @@ MARKS = r"[#*$%&|<>]"
 
 ORACLE_SQL = rf"""
 WITH d AS (
-  SELECT source, lang, regexp_replace(coalesce(text, ''), '{MARKS}', '', 'g') AS body
-  FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+  SELECT source, lang, CASE WHEN doc_id IS NULL THEN coalesce(text, '') ELSE regexp_replace(coalesce(text, ''), '{MARKS}', '', 'g') END AS body
+  FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
 ), c AS (
   {" UNION ALL ".join(f"SELECT source, lang, '{v}' AS tokenizer, len(regexp_extract_all(body, '{p}')) AS n FROM d" for v, p in TOKENIZERS.items())}
 )
@@ -111,12 +114,13 @@ SELECT source, lang, tokenizer, count(*) AS docs, sum(n)::BIGINT AS tokens FROM
 
 
 def through_three_batches(spark: SparkSession, folder: str, documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """All documents come in, texts with marks are revised, those labelled toxic go; one batch is sent twice."""
+    """All documents come in, ids with marks in a text are revised, those labelled toxic go; one batch is sent twice."""
     ledger = TokenLedger(spark, folder)
-    event = lambda op, text: documents.select("doc_id", F.lit(op).alias("op"), "source", "lang", text.alias("text"))
+    event = lambda op, text, rows=documents: rows.select("doc_id", F.lit(op).alias("op"), "source", "lang", text.alias("text"))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     gone = toxic.select("doc_id", F.lit(DELETE).alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("source", "lang", "text")])
-    marked = event(REVISE, F.regexp_replace(whole("text"), MARKS, "")).where(documents["text"].rlike(MARKS))
+    ids = settle(documents.where(F.col("text").rlike(MARKS) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "marked")
+    marked = event(REVISE, F.regexp_replace(whole("text"), MARKS, ""), rows_with(documents, "doc_id", ids))
     ledger.commit("1-load", event(INSERT, F.col("text")))
     ledger.commit("2-revise", marked)
     ledger.commit("3-delete", gone)

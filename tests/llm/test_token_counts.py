@@ -1,8 +1,11 @@
+import random
+
+import duckdb
 import pytest
 from conftest import AWKWARD
 from pyspark.sql import functions as F
 
-from stepfall.llm.token_counts import TokenLedger
+from stepfall.llm.token_counts import ORACLE_SQL, TokenLedger, through_three_batches
 
 ONE = {"words-1": r"[^\x20\x09-\x0D]+"}
 
@@ -62,3 +65,27 @@ def test_awkward_rows(spark, ledger, awkward, nothing):
     assert totals[(None, "en", "words-1")][0] == 0 or totals[(None, "en", "words-1")] == (1, 2)
     ledger.commit("2", awkward.withColumn("op", F.lit("delete")))
     assert _totals(ledger) == {}
+
+
+def test_repeated_and_missing_ids(spark, docs, tmp_path):
+    """A revision sends all rows of an id; rows without an id only come in."""
+    labels = spark.createDataFrame([(9, 1)], "doc_id long, toxic long")
+    made = docs([(5, "a # b c"), (5, "x y z"), (None, "a # b"), (None, "q"), (9, "gone #"), (7, "l m"), (7, "l m")])
+    got = through_three_batches(spark, str(tmp_path / "l"), made, labels).where("tokenizer = 'words-1'").collect()
+    assert [(r.docs, r.tokens) for r in got] == [(6, 3 + 3 + 3 + 1 + 2 + 2)]
+
+
+def test_check_sql_on_random_tables(spark, docs, tmp_path):
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        rows = [(rng.choice([None, *range(12)]), rng.choice([None, "", "a # b", "x y", "p q$ r", "w"]), rng.choice(["en", None]), rng.choice(["s", "t", None])) for _ in range(60)]
+        labels = [(rng.choice([None, *range(12)]), rng.choice([0, 1, None])) for _ in range(8)]
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+        con.execute("CREATE TABLE labels (doc_id BIGINT, toxic BIGINT)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", rows)
+        con.executemany("INSERT INTO labels VALUES (?, ?)", labels)
+        want = sorted(con.execute(f"SELECT source, lang, tokenizer, docs, tokens FROM ({ORACLE_SQL})").fetchall(), key=str)
+        df = spark.createDataFrame(labels, "doc_id long, toxic long")
+        got = through_three_batches(spark, str(tmp_path / f"r{seed}"), docs(rows), df).collect()
+        assert sorted(((r.source, r.lang, r.tokenizer, r.docs, r.tokens) for r in got), key=str) == want
