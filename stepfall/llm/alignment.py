@@ -20,6 +20,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepfall.llm import pieces
-from stepfall.llm.pieces import ranges, text_slices
+from stepfall.llm.pieces import text_slices
 from stepfall.llm.scratch import settle
 
 #: Tokenizer A, of bytes (the ranks of the vocabulary of byte_bpe_50k.json), and tokenizer B, of pieces.
@@ -60,14 +61,12 @@ class Sides:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A and of B, one text after the other, and how many each text has: none where the bytes differ from the text's."""
-        a = [np.array(self.codec.encode_ordinary(" " + t) if t else (), np.int64) for t in texts]
-        b_flat, b_count = self.encoder(texts)
-        b = np.split(b_flat.astype(np.int64), np.cumsum(b_count)[:-1])
-        for i, text in enumerate(texts):
-            whole = (" " + text).encode()
-            if not text or any(b"".join(map(t.__getitem__, ids.tolist())) != whole for t, ids in ((self.a_bytes, a[i]), (self.b_bytes, b[i]))):
-                a[i] = b[i] = a[i][:0]
-        return np.concatenate(a), np.array([len(x) for x in a]), np.concatenate(b), np.array([len(x) for x in b])
+        # A keeps every byte, and B all but the sign that it writes for a space.
+        texts = ["" if pieces.SPACE in t else t for t in texts]
+        a = [self.codec.encode_ordinary(" " + t) if t else () for t in texts]
+        b, n_b = self.encoder(texts)
+        n_a = np.array([len(x) for x in a])
+        return np.fromiter(chain.from_iterable(a), np.int64, n_a.sum()), n_a, b.astype(np.int64), n_b
 
 
 @cache
@@ -75,12 +74,18 @@ def sides(ranks: str, model: str) -> Sides:
     return Sides(ranks, model)
 
 
+def ended(ends: np.ndarray, total: int) -> np.ndarray:
+    """How many of ``ends`` lie at or before each place up to ``total``."""
+    return np.cumsum(np.bincount(ends, minlength=total + 1), dtype=np.int32)
+
+
 def group_ends(a_end: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each token of A and of B, the token of B that ends its group. The arguments are the tokens' ends, over the same bytes."""
-    n = len(a_end)
-    over = np.searchsorted(a_end, b_end)
+    n, total = len(a_end), int(a_end[-1]) if len(a_end) else 0
+    # The token of the other side that holds a token's last byte overlaps it and reaches farthest.
+    over, under = ended(a_end, total)[b_end - 1], ended(b_end, total)[a_end - 1]
     token = np.arange(n, n + len(b_end))
-    to = np.r_[n + np.searchsorted(b_end, a_end), np.where(a_end[over] > b_end, over, token)] if n else token
+    to = np.r_[n + under, np.where(a_end[over] > b_end, over, token)]
     while ((jump := to[to]) != to).any():
         to = jump
     return to[:n] - n, to[n:] - n
@@ -93,19 +98,24 @@ class Aligned:
         self.a, self.n_a, self.b, self.n_b = both.encode(texts)
         a_end, b_end = np.cumsum(both.a_width[self.a]), np.cumsum(both.b_width[self.b])
         a_last, b_last = group_ends(a_end, b_end)
-        lasts = np.flatnonzero(b_last == np.arange(len(b_last)))
-        self.a_group, self.b_group = np.searchsorted(lasts, a_last), np.searchsorted(lasts, b_last)
+        is_last = b_last == np.arange(len(b_last))
+        number = np.cumsum(is_last) - 1
+        self.a_group, self.b_group = number[a_last], number[b_last]
         row = np.arange(len(texts))
-        self.n_groups = np.bincount(np.repeat(row, self.n_b)[lasts], minlength=len(texts))
+        row_of = np.repeat(row, self.n_b)
+        self.n_groups = np.bincount(row_of[is_last], minlength=len(texts))
         #: Tokens of either side before each group, and in all.
-        self.a_start = np.r_[0, np.cumsum(np.bincount(self.a_group, minlength=len(lasts)))]
-        self.b_start = np.r_[0, np.cumsum(np.bincount(self.b_group, minlength=len(lasts)))]
+        groups_ = int(self.n_groups.sum())
+        self.a_start = np.r_[0, np.cumsum(np.bincount(self.a_group, minlength=groups_))]
+        self.b_start = np.r_[0, np.cumsum(np.bincount(self.b_group, minlength=groups_))]
         # Between one end and the next, of whichever side, lies one overlap.
-        end = np.sort(np.concatenate([a_end, b_end]), kind="stable")
-        end = end[np.r_[True, end[1:] != end[:-1]][: len(end)]]
-        self.link_a, link_b = np.searchsorted(a_end, end), np.searchsorted(b_end, end)
-        self.link_row = np.repeat(row, self.n_b)[link_b]
-        self.link_a, self.link_b = self.a[self.link_a], self.b[link_b]
+        total = int(a_end[-1]) if len(a_end) else 0
+        ends = np.zeros(total + 1, bool)
+        ends[a_end] = ends[b_end] = True
+        at = np.flatnonzero(ends) - 1
+        link_b = ended(b_end, total)[at]
+        self.link_a, self.link_b = self.a[ended(a_end, total)[at]], self.b[link_b]
+        self.link_row = row_of[link_b]
         self.n_links = np.bincount(self.link_row, minlength=len(texts))
 
     def digests(self, both: Sides) -> list[str]:

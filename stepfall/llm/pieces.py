@@ -257,6 +257,18 @@ def pieces(model: str) -> Pieces:
     return Pieces(model)
 
 
+class _Numbers(dict):
+    """Numbers words as they come; ``new`` are those that came since it was last emptied."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = number = len(self)
+        return number
+
+
 class Encoder:
     """Encodes texts; words met before are looked up."""
 
@@ -265,7 +277,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.chars = 0
         self.ids, self.counts = np.empty(0, np.int32), np.empty(0, np.int64)
 
@@ -275,13 +287,12 @@ class Encoder:
         every = list(chain.from_iterable(words))
         if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._forget()
-        new = [w for w in dict.fromkeys(every) if w not in self.known]
-        if new:
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        if new := self.known.new:
+            self.known.new = []
             self.chars += sum(map(len, new))
             ids, counts = self.pieces.encode_words(new)
             self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
-        at = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
         starts = np.cumsum(self.counts) - self.counts
         ids = self.ids[ranges(starts[at], self.counts[at])]
         bounds = np.cumsum([0, *map(len, words)])
