@@ -35,6 +35,13 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID where markup declares languages and addresses have suffixes."""
+    pages = language.page_evidence(_table(spark, sf_dir, "pages"))
+    found = language.identify(pages, id_col="page_id", declared_col="declared", address_col="address")
+    return found.withColumnRenamed("doc_id", "page_id")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"))
 
@@ -83,6 +90,7 @@ QUERIES: dict[str, Job] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_ngram_join": op3_ngram_join,
     "op4_language_id": op4_language_id,
+    "language_of_pages": language_of_pages,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_personal_data": op6_personal_data,
     "op7_token_counts": op7_token_counts,

@@ -35,9 +35,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the context's checkpoint folder; where neither is set (tests), a new one, which the session keeps."""
+    """``spark.checkpoint.dir``, or the context's checkpoint folder; in local mode, where neither is set, a new one, which the session keeps."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="stepfall-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from stepfall.llm.jobs import ORACLES, QUERIES
+from stepfall.llm.language import page_evidence
 from stepfall.llm.text import word_count
 
 TABLES = ("documents", "labels", "pages", "conversations")
@@ -88,6 +89,24 @@ def test_pipeline(spark, small):
     assert corpus_pipeline.run(spark, small).count() == docs.count()
 
 
+def test_language_of_pages_covers_every_page(spark, small):
+    """Markup and address are evidence here; most pages get the language their markup declares."""
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    declared = {r.page_id: r.declared for r in page_evidence(pages).select("page_id", "declared").collect()}
+    got = QUERIES["language_of_pages"](spark, small).collect()
+    assert sorted(r.page_id for r in got) == sorted(declared)
+    told = [r for r in got if r.kept and declared[r.page_id]]
+    assert sum(r.detected == declared[r.page_id] for r in told) >= 0.95 * len(told)
+
+
+def test_stages_without_labels_or_lengths(spark, docs):
+    """Without any declared language nothing is rejected, and ``n_chars`` is no condition."""
+    rows = [(1, "a b c", None, "s"), (2, "", None, "s"), (None, None, None, None)]
+    bare = docs(rows).select("doc_id", "text", "lang", "source")
+    assert corpus_pipeline.language_id(spark, bare, "").count() == 3
+    assert [r.text for r in corpus_pipeline.source_mixing(spark, bare, "").collect()] == ["a b c"]
+
+
 def test_pipeline_of_awkward_rows(spark, awkward, nothing):
     wanted = ["doc_id", "text", "lang", "source", "n_chars"]
     for rows in (awkward, nothing):
