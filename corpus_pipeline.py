@@ -5,7 +5,8 @@ document of each group; the mix repeats and cuts sources to their budgets; the l
 stage encodes what is left. Every stage but the last returns the columns of
 ``documents``. Rejected rows are found on slim tables; texts are not shuffled but
 for copies and the mix. Ids may be NULL or repeated: verdicts hold for an id with its
-text (and what else they rest on), not for all rows of an id.
+text (and what else they rest on), not for all rows of an id. Empty tables give empty
+tables, and columns beyond those of ``documents`` are kept.
 """
 
 from __future__ import annotations
@@ -26,28 +27,37 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops rows without a language. Where no row declares one, nothing tells languages apart, and all stay."""
     ship(spark)
+    if docs.where(F.col("lang").isNotNull()).isEmpty():
+        return docs
     keyed = docs.withColumn("_sf_row", row_key("doc_id", "text", "lang", "source"))
     rejected = settle(identify(keyed, "_sf_row").where(~F.col("kept")).select("doc_id").distinct(), "rejected")
     return rows_without(keyed, "_sf_row", rejected).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves the first row of equal texts; NULL texts count as empty, and NULL ids come last."""
     ship(spark)
     return drop_exact_duplicates(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves the first row of texts that links connect; rows without words have no links and stay."""
     ship(spark)
     return drop_near_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and cuts rows to their source's budget; ``n_chars``, where there is one, is that of the text left."""
     mixed = mixed_documents(docs)
+    if "n_chars" not in docs.columns:
+        return mixed
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's token count and digests; NULL texts count as empty."""
     ship(spark)
     return bpe.round_trip(docs)
 

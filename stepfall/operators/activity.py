@@ -40,7 +40,7 @@ def payments_per_ride(transactions: DataFrame) -> DataFrame:
     return approved(transactions).groupBy("ride_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def payments_per_user(transactions: DataFrame, rides: DataFrame, least: int = LEAST) -> DataFrame:
+def payments_per_user(transactions: DataFrame, rides: DataFrame, least: int | None = LEAST) -> DataFrame:
     """Approved payments by the ride's ``user_id``; those no ride matches go under NULL.
 
     Payments are counted per ride before the join: the preserved side then holds

@@ -44,7 +44,7 @@ def people(signups: DataFrame) -> DataFrame:
     return signups.select("user_id", "session_id", age_label())
 
 
-def placed(who: DataFrame, where: DataFrame, least: int = LEAST) -> DataFrame:
+def placed(who: DataFrame, where: DataFrame, least: int | None = LEAST) -> DataFrame:
     """``(session_id, *who, *CELL, m)``: every signup beside the cells of its download, if any (else ``m`` is NULL).
 
     ``who`` is what ``people`` gives, ``where`` what ``homes`` gives. From ``least`` signups on, sessions that hold
@@ -62,13 +62,13 @@ def cells_of(found: DataFrame, by: Sequence[str] = CELL, times: Column | int = 1
     return found.groupBy("user_id", *by).agg(F.sum(F.coalesce("m", F.lit(1)) * times).alias("copies"))
 
 
-def user_cells(signups: DataFrame, downloads: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
+def user_cells(signups: DataFrame, downloads: DataFrame, by: Sequence[str] = CELL, least: int | None = LEAST) -> DataFrame:
     """``(user_id, *by, copies)``: the cells of each user, by the user's signups.
 
     ``copies`` is how many pairs of signup and download rows put the user there (1 when keys
     are unique), so a later join on ``user_id`` can count as if it had met each one.
     """
-    return cells_of(placed(people(signups), homes(downloads)), by)
+    return cells_of(placed(people(signups), homes(downloads), least), by)
 
 
 def download_counts(found: DataFrame, where: DataFrame) -> DataFrame:

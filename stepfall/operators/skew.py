@@ -37,16 +37,19 @@ def _pieces(share: Column, tasks: int) -> Column:
 
 
 def split_join(
-    many: DataFrame, few: DataFrame, key: str, keep: str = "many", most: int = MOST, least: int = LEAST
+    many: DataFrame, few: DataFrame, key: str, keep: str = "many", most: int = MOST, least: int | None = LEAST
 ) -> DataFrame:
     """``many`` and ``few`` joined on ``key``; rows of the ``keep`` side without a partner stay, with NULLs.
 
     ``many`` may hold any number of rows per key, unlike in columns other than the key; ``few`` should hold few, as a
     hot key's rows there are copied to its pieces. The result is that of a plain left join, with
-    ``key`` first. NULL keys of ``many``, which find no partner, are dealt out likewise.
+    ``key`` first. NULL keys of ``many``, which find no partner, are dealt out likewise. With ``least``
+    ``None`` it is a plain join, for sides that lie by their key already.
     """
     if keep not in ("many", "few"):
         raise ValueError(f"keep is 'many' or 'few', not {keep!r}")
+    if least is None:
+        return many.join(few, key, "left") if keep == "many" else few.join(many, key, "left")
     tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(many, key, most, least).withColumnRenamed(key, "_hot"))
     pieces = _pieces(F.col("share"), tasks)

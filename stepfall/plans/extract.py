@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from stepfall.operators import (
     CELL,
     Step,
-    attribute,
     payments_per_user,
     pct_of_previous,
     pct_of_top,
@@ -18,10 +17,9 @@ from stepfall.operators import (
     rides_per_user,
     stack_facts,
     step_table,
-    user_cells,
 )
 from stepfall.operators.activity import MARKS
-from stepfall.operators.grain import download_counts, homes, people, placed
+from stepfall.operators.grain import attach, download_counts, homes, people, placed
 from stepfall.plans.funnels import step
 from stepfall.sources.tables import TableSet
 
@@ -31,7 +29,7 @@ def _rides(t: TableSet) -> DataFrame:
 
 
 def _payments(t: TableSet) -> DataFrame:
-    return payments_per_user(t.transactions, t.ride_requests)
+    return payments_per_user(t.transactions, t.riders(), t.hot_rows)
 
 
 def _reviews(t: TableSet) -> DataFrame:
@@ -40,7 +38,7 @@ def _reviews(t: TableSet) -> DataFrame:
 
 def users_with_cell(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
     """Counts per user, fact and cell, over the given facts."""
-    return attribute(stack_facts(*[f(t) for f in facts]), t.signups, t.app_downloads)
+    return attach(stack_facts(*[f(t) for f in facts]), t.cells())
 
 
 def _users(mark: str) -> Column:
@@ -70,7 +68,7 @@ def cells(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
 
 def _download_counts(t: TableSet) -> DataFrame:
     where = homes(t.app_downloads)
-    return download_counts(placed(people(t.signups), where), where)
+    return download_counts(placed(people(t.signups), where, t.hot_rows), where)
 
 
 def signup_counts(cells: DataFrame) -> DataFrame:
@@ -79,7 +77,7 @@ def signup_counts(cells: DataFrame) -> DataFrame:
 
 
 def _signup_counts(t: TableSet) -> DataFrame:
-    return signup_counts(user_cells(t.signups, t.app_downloads))
+    return signup_counts(t.cells())
 
 
 def seg_app_download(t: TableSet) -> DataFrame:

@@ -50,7 +50,7 @@ def user_steps(t: TableSet) -> DataFrame:
     rides = riders.agg(
         _groups(), F.sum("accepted").alias("accepted"), F.sum("completed").alias("completed")
     )
-    payers = payments_per_user(t.transactions, t.ride_requests)
+    payers = payments_per_user(t.transactions, t.riders(), t.hot_rows)
     n = F.col("n")
     return step_table(
         [

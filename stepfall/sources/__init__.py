@@ -1,3 +1,4 @@
+from stepfall.sources.buckets import read_buckets, write_buckets
 from stepfall.sources.rejects import read_with_rejects
 from stepfall.sources.session import local_session, tune
 from stepfall.sources.sinks import replace_extract, scratch_folder, settle_extract, write_extract
@@ -11,6 +12,7 @@ __all__ = [
     "empty_tables",
     "from_star",
     "local_session",
+    "read_buckets",
     "read_catalog",
     "read_files",
     "read_with_rejects",
@@ -18,5 +20,6 @@ __all__ = [
     "scratch_folder",
     "settle_extract",
     "tune",
+    "write_buckets",
     "write_extract",
 ]

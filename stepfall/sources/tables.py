@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stepfall.operators.grain import user_cells
+from stepfall.operators.skew import LEAST
+
 
 def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
@@ -56,10 +60,21 @@ class TableSet:
     transactions: DataFrame
     reviews: DataFrame
 
+    #: From how many rows on joins look for keys that hold a large part of them; ``None``: never.
+    hot_rows: ClassVar[int | None] = LEAST
+
     def items(self) -> Iterator[tuple[str, DataFrame]]:
         for name in SCHEMAS:
             yield name, getattr(self, name)
 
+    def riders(self) -> DataFrame:
+        """``(ride_id, user_id)`` of every ride."""
+        return self.ride_requests.select("ride_id", "user_id")
+
+    def cells(self) -> DataFrame:
+        """``(user_id, *CELL, copies)`` of every user with a signup."""
+        return user_cells(self.signups, self.app_downloads, least=self.hot_rows)
+
 
 # The keys that jobs join by equality.
 KEY_PAIRS = (
@@ -113,8 +128,13 @@ def _parsed(table: str, field: T.StructField, strict: bool) -> Column:
     return value.alias(field.name)
 
 
+#: What makes Spark read Parquet and ORC through readers that can answer aggregates from file footers.
+_FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,text"}
+_PUSHED = ("spark.sql.parquet.aggregatePushdown", "spark.sql.orc.aggregatePushdown")
+
+
 def read_files(
-    spark: SparkSession, root: str, fmt: str = "parquet", key_type: str = "bigint", **options: str
+    spark: SparkSession, root: str, fmt: str = "parquet", key_type: str = "bigint", footers: bool = False, **options: str
 ) -> FunnelTables:
     """Read ``root/<table>`` for each table.
 
@@ -125,9 +145,22 @@ def read_files(
     table must agree on it. With ``header="false"`` columns go by position. An option
     given here wins over these settings.
 
+    With ``footers``, row counts and the least and greatest numbers and dates of whole Parquet and ORC tables come
+    from the files' footers, and no row is read for them; other queries read as ever. This
+    switches aggregate push-down on in the session. Text formats have no footers and are read.
+
     Call ``tune(spark)`` before, or set the session's adaptive execution yourself:
     hot keys count on it.
     """
+    if footers and fmt in ("parquet", "orc"):
+        before = {key: spark.conf.get(key) for key in _FOOTERS}
+        for key, value in (_FOOTERS | dict.fromkeys(_PUSHED, "true")).items():
+            spark.conf.set(key, value)
+        try:
+            return read_files(spark, root, fmt, key_type, **options)
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
     strict = {"mode": "FAILFAST"} if fmt in ("csv", "json") else {}
     strict |= {"header": "true", "enforceSchema": "false"} if fmt == "csv" else {}
     settings = strict | {k: str(v) for k, v in options.items()}
