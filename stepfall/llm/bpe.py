@@ -26,9 +26,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepfall.llm.scratch import settle
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters of a chunk, and of its overlap with the next one.
-CHUNK, OVERLAP = 65_536, 1_024
+CHUNK, OVERLAP = 32_768, 1_024
 #: A match that ends this near to the end of a chunk could end elsewhere in the whole text.
 MARGIN = 4
 #: Texts encoded or decoded at a time.
@@ -172,7 +174,8 @@ def _raw(batches: Iterator[pa.RecordBatch], ranks: str, ids_col: str, out_col: s
 
 def _short_and_long(docs: DataFrame, id_col: str, text_col: str, chunk: int) -> tuple[DataFrame, DataFrame]:
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    long = slim.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+    # Written before they are spread, so that a task that runs again finds the same numbers.
+    long = settle(slim.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id()), "long")
     return slim.where(F.length("text") <= chunk), long
 
 
