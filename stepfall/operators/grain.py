@@ -48,8 +48,10 @@ def placed(who: DataFrame, where: DataFrame, least: int | None = LEAST) -> DataF
     """``(session_id, *who, *CELL, m)``: every signup beside the cells of its download, if any (else ``m`` is NULL).
 
     ``who`` is what ``people`` gives, ``where`` what ``homes`` gives. From ``least`` signups on, sessions that hold
-    a large part of them are looked for, and dealt to many tasks.
+    a large part of them are looked for, and dealt to many tasks; with ``None`` both sides are joined as they lie.
     """
+    if least is None:
+        return split_join(who, where, "session_id", least=None)
     # The join drops NULL keys on this side. Phrased over ``m``, that filter stays above the
     # aggregate, so a plan that also counts the homes themselves scans and groups them once.
     key = F.when(F.col("m") > 0, F.col("session_id"))
@@ -104,11 +106,11 @@ def download_counts(found: DataFrame, where: DataFrame) -> DataFrame:
     return whole.unionByName(moved).groupBy(*CELL).agg(F.sum("users").alias("users"), F.sum("rows").alias("rows")).where("rows > 0")
 
 
-def attach(facts: DataFrame, cells: DataFrame, by: Sequence[str] = CELL) -> DataFrame:
-    """Add the cells of ``cells_of``, and ``copies``, to facts that carry ``user_id``."""
+def attach(facts: DataFrame, cells: DataFrame, by: Sequence[str] = CELL, in_place: bool = False) -> DataFrame:
+    """Add the cells of ``cells_of``, and ``copies``, to facts that carry ``user_id``; ``in_place`` if both are stored by it."""
     # The join drops NULL users on this side. Phrased over ``copies``, that filter stays above the
     # aggregate, and a plan that also counts the cells themselves computes them only once.
-    user = F.when(F.col("copies") > 0, F.col("user_id"))
+    user = F.col("user_id") if in_place else F.when(F.col("copies") > 0, F.col("user_id"))
     joined = facts.join(cells.withColumn("user_id", user), "user_id", "left")
     cell = [age_label() if c == "age_range" else F.col(c) for c in by]
     return joined.select(*facts.columns, *cell, F.coalesce("copies", F.lit(1)).alias("copies"))

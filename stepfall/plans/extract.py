@@ -38,7 +38,7 @@ def _reviews(t: TableSet) -> DataFrame:
 
 def users_with_cell(t: TableSet, *facts: Callable[[TableSet], DataFrame]) -> DataFrame:
     """Counts per user, fact and cell, over the given facts."""
-    return attach(stack_facts(*[f(t) for f in facts]), t.cells())
+    return attach(stack_facts(*[f(t) for f in facts]), t.cells(), in_place=t.hot_rows is None)
 
 
 def _users(mark: str) -> Column:

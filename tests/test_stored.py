@@ -42,11 +42,11 @@ def test_jobs_on_buckets(spark, bucketed, name):
 def test_joins_find_their_rows_in_place(spark, bucketed):
     """No exchange below signups and downloads, payments and rides, and facts and cells."""
     t, _ = bucketed
-    attributed = extract.users_with_cell(t, extract._rides, extract._reviews)
     joins = [
         placed(people(t.signups), homes(t.app_downloads), t.hot_rows),
         payments_per_user(t.transactions, t.riders(), t.hot_rows),
-        attributed,
+        extract.users_with_cell(t, extract._rides),
+        extract.users_with_cell(t, extract._reviews),
     ]
     with settings(spark, NO_BROADCAST):
         for df in joins:
