@@ -268,9 +268,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Counts of the base spans per kind, the digest of their list, and the list of all spans."""
+    """Counts of the base spans per kind, of those discovered beside them and of all, the digest of the base spans' list, and the list of all spans."""
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["base"])
     of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     counts = [of(kind).alias(f"n_{kind}") for kind in KINDS]
+    every = F.size("spans").cast("long")
+    counts += [(every - F.size(base)).alias("n_discovered"), every.alias("n_spans")]
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))

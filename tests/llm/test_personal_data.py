@@ -28,12 +28,15 @@ def test_digests(docs):
     for i, text in rows:
         listed = ",".join(f"{k}:{a}:{b}" for k, a, b in brute.personal(text or ""))
         assert got[i].spans == listed and got[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+        assert got[i].n_discovered == 0 and got[i].n_spans == len(brute.personal(text or ""))
     assert (got[1].n_email, got[1].n_ip, got[4].n_phone, got[4].n_card) == (1, 1, 1, 0)
 
 
 def test_contexts_of_seeds_discover_others(docs):
     seeds = [(i, f"text {i} please call me at +1 555 010 {1000 + i} any time soon ok") for i in range(40)]
     hidden = [(100, "text please call me at 0171-4711-99 any time soon ok"), (101, "chapter 12345 of the book has 99999 words in it")]
+    counts = {r.doc_id: (r.n_phone, r.n_discovered, r.n_spans) for r in pii.digests(pii.find(docs(seeds + hidden))).collect()}
+    assert counts[100] == (0, 1, 1) and counts[101] == (0, 0, 0) and counts[7] == (1, 0, 1)
     got = {r.doc_id: r.spans for r in pii.find(docs(seeds + hidden)).collect()}
     start = hidden[0][1].index("0171")
     assert [(s.kind, s.start, s.end, s.base) for s in got[100]] == [("phone", start, start + 12, False)]
