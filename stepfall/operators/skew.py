@@ -31,6 +31,11 @@ def hot_keys(df: DataFrame, key: str, most: int = MOST, least: int = LEAST) -> D
     return found.select(F.col("item").alias(key), (F.col("count") / F.col("rows")).alias("share")).limit(most)
 
 
+def _is_small(df: DataFrame, least: int) -> bool:
+    """By the optimizer's estimate, at eight bytes a row. What it cannot estimate is not small."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 8 * least
+
+
 def _pieces(share: Column, tasks: int) -> Column:
     """Into how many pieces a hot key goes: eight times its share of the tasks, so that tasks get about as many rows each."""
     return F.when(share > 0, F.ceil(8 * tasks * F.least(share, F.lit(1.0)))).otherwise(1).cast("int")
@@ -44,11 +49,12 @@ def split_join(
     ``many`` may hold any number of rows per key, unlike in columns other than the key; ``few`` should hold few, as a
     hot key's rows there are copied to its pieces. The result is that of a plain left join, with
     ``key`` first. NULL keys of ``many``, which find no partner, are dealt out likewise. With ``least``
-    ``None`` it is a plain join, for sides that lie by their key already.
+    ``None`` it is a plain join, for sides that lie by their key already; so it is, without a search for hot
+    keys, where the optimizer takes ``many`` for smaller than ``least`` rows.
     """
     if keep not in ("many", "few"):
         raise ValueError(f"keep is 'many' or 'few', not {keep!r}")
-    if least is None:
+    if least is None or _is_small(many, least):
         return many.join(few, key, "left") if keep == "many" else few.join(many, key, "left")
     tasks = int(many.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(many, key, most, least).withColumnRenamed(key, "_hot"))
